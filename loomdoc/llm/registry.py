@@ -6,6 +6,7 @@ from loomdoc.llm import contract
 
 QUERIES = {
     "op1_sharding": contract.op1_sharding,
+    "op4_byte_bpe": contract.op4_byte_bpe,
 }
 
 ORACLES: dict[str, str] = {}
