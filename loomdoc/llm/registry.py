@@ -7,6 +7,7 @@ from loomdoc.llm import contract
 QUERIES = {
     "op1_sharding": contract.op1_sharding,
     "op4_byte_bpe": contract.op4_byte_bpe,
+    "op7_token_files": contract.op7_token_files,
 }
 
 ORACLES: dict[str, str] = {}
