@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from loomdoc.llm import contract
+from loomdoc.llm import contract, oracles
 
 QUERIES = {
     "op1_sharding": contract.op1_sharding,
+    "op3_quality_rules": contract.op3_quality_rules,
     "op4_byte_bpe": contract.op4_byte_bpe,
+    "op6_url_filters": contract.op6_url_filters,
     "op7_token_files": contract.op7_token_files,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op3_quality_rules": oracles.QUALITY,
+    "op6_url_filters": oracles.URLS,
+}
