@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomdoc.llm import bpe, quality, sharding, tokenfile, urlrules
+from loomdoc.llm import bpe, linededup, mixing, quality, sharding, tokenfile, urlrules
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -67,3 +67,24 @@ def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Host, path, rule and verdict of every page's URL; URLs that no rule fits are allowed."""
     rules = [urlrules.prefix_rule(*r) for r in URL_RULES]
     return urlrules.judge(table(spark, sf_dir, "pages").select("page_id", "url"), rules).select("page_id", "host", "path", "rule", "verdict")
+
+
+#: Production weights of the mixture: whole numbers by path in the tree; nodes that are not listed weigh 1.
+WEIGHTS = {("web",): 3, ("books",): 2, ("news",): 1, ("web", "en"): 4, ("books", "en"): 2, ("web", "en", "src0"): 2}
+
+
+def domain() -> Column:
+    """Domains of the synthetic sources, dealt by their number."""
+    number = F.expr("try_cast(regexp_extract(source, '([0-9]+)$', 1) AS int)")
+    return F.when(number % 3 == 0, "web").when(number % 3 == 1, "books").when(number % 3 == 2, "news").otherwise("other")
+
+
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As many tokens as the corpus has, dealt to the weights, each leaf read up to four times."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    return mixing.mix(docs, WEIGHTS, domain()).select("doc_id", "epoch", "tokens")
+
+
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the passages that occur before."""
+    return linededup.repeated_lines(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "removed", F.col("deduped").alias("text"))

@@ -10,9 +10,13 @@ QUERIES = {
     "op4_byte_bpe": contract.op4_byte_bpe,
     "op6_url_filters": contract.op6_url_filters,
     "op7_token_files": contract.op7_token_files,
+    "op9_mixing": contract.op9_mixing,
+    "op10_line_dedup": contract.op10_line_dedup,
 }
 
 ORACLES: dict[str, str] = {
     "op3_quality_rules": oracles.QUALITY,
     "op6_url_filters": oracles.URLS,
+    "op9_mixing": oracles.MIXING,
+    "op10_line_dedup": oracles.LINES,
 }
