@@ -1,14 +1,38 @@
-"""Bounds on Arrow batches, so that a batch of long texts fits beside the other workers of an executor."""
+"""What operators with Python functions ask of a session: this package on the executors, and bounded Arrow batches,
+so that a batch of long texts fits beside the other workers of an executor."""
 
 from __future__ import annotations
 
+import os
+import tempfile
+import zipfile
+
 from pyspark.sql import SparkSession
 
 ROWS, BYTES = 1024, 8 << 20
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send the package's code to the executors once an application."""
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    top = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    name = os.path.join(tempfile.mkdtemp(), "loomdoc-code.zip")
+    with zipfile.ZipFile(name, "w") as bundle:
+        for folder, _, files in os.walk(top):
+            for file in files:
+                if file.endswith(".py"):
+                    path = os.path.join(folder, file)
+                    bundle.write(path, os.path.relpath(path, os.path.dirname(top)))
+    context.addPyFile(name)
+    _shipped.add(context.applicationId)
 
 
 def bound(spark: SparkSession, rows: int = ROWS, size: int = BYTES) -> None:
-    """Lower the session's Arrow batch limits to ``rows`` and ``size``; smaller settings of the user stay."""
+    """Ship the code and lower the session's Arrow batch limits to ``rows`` and ``size``; smaller settings of the user stay."""
+    ship(spark)
     for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", size)):
         now = spark.conf.get(key, None)
         digits = now if now and now.lstrip("-").isdigit() else "0"

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomdoc.llm import bpe, linededup, mixing, quality, sharding, tokenfile, urlrules
+from loomdoc.llm import bpe, linededup, mixing, neardup, quality, sharding, tokenfile, urlrules
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -88,3 +88,8 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the passages that occur before."""
     return linededup.repeated_lines(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "removed", F.col("deduped").alias("text"))
+
+
+def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near duplicates of all documents."""
+    return neardup.linked(table(spark, sf_dir, "documents").select("doc_id", "text"))

@@ -6,6 +6,7 @@ from loomdoc.llm import contract, oracles
 
 QUERIES = {
     "op1_sharding": contract.op1_sharding,
+    "op2_near_duplicates": contract.op2_near_duplicates,
     "op3_quality_rules": contract.op3_quality_rules,
     "op4_byte_bpe": contract.op4_byte_bpe,
     "op6_url_filters": contract.op6_url_filters,
