@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomdoc.llm import bpe, linededup, mixing, neardup, quality, sharding, tokenfile, urlrules
+from loomdoc.llm import bpe, chat, linededup, mixing, neardup, quality, sharding, tokenfile, topk, urlrules
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -93,3 +93,20 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near duplicates of all documents."""
     return neardup.linked(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op5_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best of all vectors for every fiftieth."""
+    return topk.top_k(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("vec_id") % 50 == 0)
+
+
+def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation as a raw transcript in one of six styles, its roles recovered and rendered alike."""
+    parts = chat.segments(table(spark, sf_dir, "conversations"))
+    style = F.pmod(F.xxhash64("conv_id", F.lit(8)), F.lit(len(chat.STYLES))).cast("int")
+    model = chat.fit(parts, style)
+    raw = parts.withColumn("transcript", chat.transcript(F.col("said"), style))
+    read = chat.parse(raw, model)
+    true = F.filter("said", lambda x: F.length(F.trim(x["text"])) > 0)
+    right = F.size(F.filter(F.arrays_zip(F.transform(true, lambda x: x["role"]), F.transform("turns", lambda x: x["role"])), lambda x: x["0"] == x["1"]))
+    return read.select("conv_id", "segment", "part", F.size(true).alias("said_turns"), F.size("turns").alias("n_turns"), right.alias("right_roles"), "chat")
