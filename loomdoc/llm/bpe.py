@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomdoc.llm import batches
+from loomdoc.llm.store import packed, unpacked
 
 #: Transitions and cached segments are rebuilt beyond these counts, which bounds memory and changes no result.
 MAX_TRANSITIONS, MAX_SEGMENTS = 400_000, 300_000
@@ -279,8 +280,8 @@ def encode_decode(docs: DataFrame, path: str, pattern: str, column: str = "text"
             ids = [encoder.encode(t) for t in texts]
             yield pd.DataFrame({"ids": ids, "decoded": [decoder.text(list(struct.unpack(f"<{len(x) // 4}I", x))) for x in ids]})
 
-    kept = [c for c in docs.columns if c not in ("ids", "decoded")]
-    return docs.withColumn("_both", both(F.col(column))).select(*kept, "_both.ids", "_both.decoded")
+    rows = packed(docs, _text=column).withColumn("_both", both("_text")).select("_row", "_both.ids", "_both.decoded")
+    return unpacked(rows, docs.columns, ["ids", "decoded"])
 
 
 def digest(ids: list[int]) -> str:

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomdoc.llm import batches
+from loomdoc.llm.store import packed, unpacked
 
 ROLES = ("system", "user", "assistant")
 STATES = [(role, first) for role in ROLES for first in (True, False)]
@@ -142,8 +143,8 @@ def parse(transcripts: DataFrame, model: Model, column: str = "transcript") -> D
             yield pd.DataFrame({"turns": [[{"role": r, "text": x} for r, x in f] for f in found], "chat": [rendered(f) for f in found]})
 
     made = F.pandas_udf(run, "turns array<struct<role:string,text:string>>, chat string")
-    kept = [c for c in transcripts.columns if c not in ("turns", "chat")]
-    return transcripts.withColumn("_parsed", made(F.col(column))).select(*kept, "_parsed.turns", "_parsed.chat")
+    rows = packed(transcripts, _text=column).withColumn("_parsed", made("_text")).select("_row", "_parsed.turns", "_parsed.chat")
+    return unpacked(rows, transcripts.columns, ["turns", "chat"])
 
 
 #: Speaker markers by style, for system, user and assistant; None stands for no marker but a blank line between turns.

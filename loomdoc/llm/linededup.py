@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomdoc.llm.store import packed, unpacked
+
 WINDOW = 3
 
 
@@ -40,7 +42,6 @@ def repeated_lines(docs: DataFrame, column: str = "text") -> DataFrame:
     Shuffles: window hashes twice (counted with partial sums, then joined with the repeated ones, where adaptive
     execution splits a passage that very many documents hold), and the texts once with their marked positions.
     """
-    docs = docs.drop("removed", "deduped")
     own = docs.select(F.col("doc_id").alias("_d"), F.xxhash64(column).alias("_t"), F.split(column, "\n").alias("_l"))
     marks = own.select("_d", "_t", F.explode(_windows(F.col("_l"))).alias("_w")).select(
         F.struct("_d", "_t", "_w.pos").alias("at"), F.col("_w.h1").alias("h1"), F.col("_w.h2").alias("h2")
@@ -48,13 +49,14 @@ def repeated_lines(docs: DataFrame, column: str = "text") -> DataFrame:
     first = marks.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min("at").alias("first")).filter("n > 1").drop("n")
     later = marks.join(first, ["h1", "h2"]).filter(F.col("at") > F.col("first"))
     covered = later.groupBy(F.col("at._d").alias("_d"), F.col("at._t").alias("_t")).agg(F.array_sort(F.collect_set("at.pos")).alias("_p"))
-    joined = docs.withColumn("_t0", F.xxhash64(column)).join(covered, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_t0") == F.col("_t")), "left")
-    lines = F.split(column, "\n")
+    rows = packed(docs, _id="doc_id", _text=column, _h=F.xxhash64(column))
+    joined = rows.join(covered, F.col("_id").eqNullSafe(F.col("_d")) & (F.col("_h") == F.col("_t")), "left")
+    lines = F.split("_text", "\n")
     marked = F.array_distinct(F.flatten(F.transform("_p", lambda p: F.array(*[p + k for k in range(WINDOW)]))))
     left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), marked)
     kept = F.transform(left, lambda i: F.get(lines, i))
     flagged = joined.withColumn("_k", F.when(F.col("_p").isNotNull(), kept))
     out = flagged.withColumn("removed", F.coalesce(F.size(lines) - F.size("_k"), F.lit(0)).cast("long")).withColumn(
-        "deduped", F.when(F.col("_p").isNull(), F.col(column)).otherwise(F.array_join("_k", "\n"))
+        "deduped", F.when(F.col("_p").isNull(), F.col("_text")).otherwise(F.array_join("_k", "\n"))
     )
-    return out.select(*docs.columns, "removed", "deduped")
+    return unpacked(out, docs.columns, ["removed", "deduped"])

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from loomdoc.llm.store import materialise
+from loomdoc.llm.store import materialise, packed, unpacked
 
 LEVELS = ("_domain", "_lang", "_source")
 #: The order key has 60 bits; its first 12 name a stretch of the permutation.
@@ -87,13 +87,10 @@ def mix(
     Documents are never sorted or shuffled whole: a leaf's tokens are summed by 4,096 stretches of its permutation, and only
     the stretch in which the budget ends is looked at row by row. Tables of leaves are joined by their size.
     """
-    docs = docs.drop("epoch", "tokens")
     own = tokens if tokens is not None else estimated_tokens(F.col("text"))
     blank = lambda c: F.coalesce(c.cast("string"), F.lit(""))
-    rows = docs.select(
-        "*", own.alias("tokens"), blank(domain).alias("_domain"), blank(F.col("lang")).alias("_lang"), blank(F.col("source")).alias("_source"),
-        F.coalesce(F.col("doc_id").cast("string"), F.md5(blank(F.col("text")).cast("binary"))).alias("_name"),
-    )
+    name = F.coalesce(F.col("doc_id").cast("string"), F.md5(blank(F.col("text")).cast("binary")))
+    rows = packed(docs, tokens=own, _domain=blank(domain), _lang=blank(F.col("lang")), _source=blank(F.col("source")), _name=name)
     leaves, _ = materialise(rows.groupBy(*LEVELS).agg(F.sum("tokens").alias("tokens")), "leaves")
     total = leaves.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0]  # one row
     split, _ = materialise(
@@ -125,4 +122,4 @@ def mix(
         F.when(F.col("_full") > 0, F.sequence(F.lit(0), F.col("_full") - 1)).otherwise(F.array().cast("array<int>")),
         F.when(ending, F.array("_full")).otherwise(F.array().cast("array<int>")),
     )
-    return chosen.withColumn("epoch", F.explode(epochs)).select(*docs.columns, "epoch", "tokens")
+    return unpacked(chosen.withColumn("epoch", F.explode(epochs)), docs.columns, ["epoch", "tokens"])

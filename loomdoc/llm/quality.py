@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomdoc.llm import batches
-from loomdoc.llm.store import materialise
+from loomdoc.llm.store import materialise, packed, unpacked
 
 #: Characters between words, and the symbols that are counted.
 BLANKS = " \t\n\x0b\x0c\r"
@@ -115,11 +115,11 @@ def host_rules(docs: DataFrame, host: str = "source", most: float = 0.5, column:
     once for the counts and once for the result, which is cheaper than to store them. Empty tables give no rows; columns of the input
     that clash with the result's are replaced.
     """
-    docs = docs.drop(*MEASURES, "host_rate", "kept")
-    base = measured(docs, column)
-    counted = base.filter(F.col(host).isNotNull()).groupBy(F.col(host).alias("_host")).agg(F.count("*").alias("docs"), F.count_if("base_failed").alias("failed"))
+    base = measured(packed(docs, _text=column, _of=host), "_text")
+    counted = base.filter("_of IS NOT NULL").groupBy(F.col("_of").alias("_host")).agg(F.count("*").alias("docs"), F.count_if("base_failed").alias("failed"))
     counted, _ = materialise(counted, "hosts")
     alpha, beta = beta_prior(counted)
     rates = counted.select("_host", ((F.col("failed") + alpha) / (F.col("docs") + alpha + beta)).alias("host_rate"))
-    judged = base.join(rates, F.col(host) == F.col("_host"), "left").drop("_host")
-    return judged.withColumn("kept", ~F.col("base_failed") & (F.coalesce(F.col("host_rate"), F.lit(0.0)) <= most))
+    judged = base.join(rates, F.col("_of") == F.col("_host"), "left")
+    judged = judged.withColumn("kept", ~F.col("base_failed") & (F.coalesce(F.col("host_rate"), F.lit(0.0)) <= most))
+    return unpacked(judged, docs.columns, [*MEASURES, "host_rate", "kept"])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from loomdoc.llm import contract, oracles
 
 QUERIES = {
@@ -15,6 +16,7 @@ QUERIES = {
     "op8_chat_format": contract.op8_chat_format,
     "op9_mixing": contract.op9_mixing,
     "op10_line_dedup": contract.op10_line_dedup,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLES: dict[str, str] = {

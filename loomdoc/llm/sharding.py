@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from loomdoc.llm.store import packed, unpacked
+
 #: Above this total numpy's generator refuses; the windowed inversion below takes over.
 NUMPY_LIMIT = 10**9
 BROADCAST_BYTES = 8 << 20
@@ -91,12 +93,11 @@ def shuffle_into_shards(
     empty; an empty table gives no rows. Columns named ``shard`` or ``slot`` in the input are replaced.
     """
     spark = docs.sparkSession
-    docs = docs.drop("shard", "slot")
     total = docs.count()
     buckets = max(min_buckets, -(-total // rows_per_bucket))
-    hashed = F.xxhash64(*[F.col(c) for c in key], F.lit(seed))
-    bucket = F.pmod(hashed, F.lit(buckets)).cast("int")
-    counts = {r[0]: r[1] for r in docs.groupBy(bucket.alias("b")).count().collect()}  # one row a bucket
+    rows = packed(docs, _h=F.xxhash64(*[F.col(c) for c in key], F.lit(seed)))
+    bucket = F.pmod("_h", F.lit(buckets)).cast("int")
+    counts = {r[0]: r[1] for r in rows.groupBy(bucket.alias("b")).count().collect()}  # one row a bucket
     present = sorted(counts)
     sizes = shard_sizes(sum(counts.values()), shards)
     matrix = communication_matrix([counts[b] for b in present], sizes, seed)
@@ -110,12 +111,12 @@ def shuffle_into_shards(
     )
     table = F.broadcast(table) if len(plan) * shards * 16 <= BROADCAST_BYTES else table
     local = W.partitionBy("_b").orderBy(F.xxhash64(F.col("_h"), F.lit(seed + 1)), F.col("_h"))
-    ranked = docs.withColumn("_h", hashed).withColumn("_b", bucket).withColumn("_r", F.row_number().over(local).cast("long") - 1)
+    ranked = rows.withColumn("_b", bucket).withColumn("_r", F.row_number().over(local).cast("long") - 1)
     sent = ranked.join(table, "_b").withColumn("shard", F.size(F.filter("_cuts", lambda c: c <= F.col("_r"))))
     sent = sent.withColumn("_i", F.element_at("_base", F.col("shard") + 1) + F.col("_r"))
     q, rem = divmod(total, shards)
     size = F.when(F.col("shard") < rem, F.lit(q + 1)).otherwise(F.lit(q)).cast("long")
     # the second permutation needs no further pass: positions in a shard are gapless already
-    placed = sent.withColumn("slot", permuted(F.col("_i"), size, F.col("shard"), seed + 2, q + 1)).drop("_b", "_h", "_r", "_cuts", "_base", "_i")
+    placed = sent.select("_row", "shard", permuted(F.col("_i"), size, F.col("shard"), seed + 2, q + 1).alias("slot"))
     block = F.floor(F.col("slot") / block_rows)
-    return placed.repartition(F.col("shard"), block).sortWithinPartitions("shard", "slot")
+    return unpacked(placed.repartition(F.col("shard"), block).sortWithinPartitions("shard", "slot"), docs.columns, ["shard", "slot"])

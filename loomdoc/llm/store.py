@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -32,3 +33,15 @@ def discard(spark: SparkSession, *paths: str) -> None:
     for path in paths:
         where = jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def packed(df: DataFrame, **needed: Column | str) -> DataFrame:
+    """Whole rows as the struct ``_row`` beside the named expressions, so that no column of the input meets an operator's own."""
+    row = F.struct(*[F.col(f"`{c}`") for c in df.columns])
+    return df.select(row.alias("_row"), *[(F.col(e) if isinstance(e, str) else e).alias(name) for name, e in needed.items()])
+
+
+def unpacked(df: DataFrame, columns: list[str], added: list[str]) -> DataFrame:
+    """The columns of ``_row`` and then ``added``; an input column with the name of an added one gives way to it."""
+    taken = {a.lower() for a in added}
+    return df.select(*[F.col("_row")[c].alias(c) for c in columns if c.lower() not in taken], *added)
