@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from loomdoc.plans import layout, storage, verification
+
+QUERIES = verification.QUERIES | storage.QUERIES | layout.QUERIES
+ORACLES = verification.ORACLES | storage.ORACLES | layout.ORACLES
