@@ -23,6 +23,7 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -37,7 +38,8 @@ from loomdoc.llm import batches, store
 MAGIC = b"LDTOK1\0\0"
 BLOCK_IDS, LEVEL = 1 << 16, 3
 #: Cached words are dropped beyond this count, which bounds memory and changes no result.
-MAX_WORDS = 300_000
+MAX_WORDS = 1_000_000
+SIGNS = b".,;:!?"
 
 
 def planes(ids: np.ndarray, bits: bool) -> list[bytes]:
@@ -162,17 +164,28 @@ class Tokenizer:
         self.words: dict[bytes, bytes] = {}
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
-        split = [t.split() for t in texts]
+        # the vocabulary is of lower case, so words that differ in A-Z alone share their ids
+        split = [t.lower().split() for t in texts]
         known = self.words
         if len(known) > MAX_WORDS:
             known.clear()
-        new = list({w for words in split for w in words if w not in known})
-        for k in range(0, len(new), 4096):
-            part = new[k : k + 4096]
-            for word, got in zip(part, self.library.encode_batch_fast([w.decode() for w in part], add_special_tokens=False), strict=True):
-                known[word] = struct.pack(f"<{len(got.ids)}I", *got.ids)
+        new = set(chain.from_iterable(split)).difference(known)
+        # a letter and a sign after it are never one piece: "word," is "word" and ","
+        signed = [w for w in new if w[-1] in SIGNS and w[-2:-1].isalpha()]
+        new.difference_update(signed)
+        new.update(x for w in signed for x in (w[:-1], w[-1:]) if x not in known)
+        self.learn(list(new))
+        for w in signed:
+            known[w] = known[w[:-1]] + known[w[-1:]]
         return [b"".join(map(known.__getitem__, words)) for words in split]
 
+    def learn(self, words: list[bytes]) -> None:
+        for k in range(0, len(words), 4096):
+            part = words[k : k + 4096]
+            for word, got in zip(part, self.library.encode_batch_fast([w.decode() for w in part], add_special_tokens=False), strict=True):
+                ids = got.ids
+                self.words[word] = struct.pack(f"<{len(ids)}I", *ids)
+
 
 _MADE: dict[str, Tokenizer] = {}
 
@@ -242,7 +255,8 @@ def read_tokens(manifest: DataFrame) -> DataFrame:
                             rows, size = [], 0
                 yield pd.DataFrame(rows, columns=["doc_id", "start", "n_tokens", "ids"]).astype({"doc_id": "Int64"})
 
-    dealt = manifest.select("path", "first").repartition(F.col("path"))
+    # a number keeps adaptive execution from putting all files into one task
+    dealt = manifest.select("path", "first").repartition(max(1, min(manifest.count(), 1 << 15)), F.col("path"))
     return dealt.mapInPandas(read, "doc_id long, start long, n_tokens long, ids binary")
 
 
