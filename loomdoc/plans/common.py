@@ -13,10 +13,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores where its files make fewer splits than there are: small tables under costly expressions. Large tables
+    have splits enough and are not shuffled."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as sources, with numbers, standards, parts, units and a bullet added, and a translation that is the
     source, lacks its digits, its line breaks, or most of its text."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "lang", "text"))
     code = F.col("doc_id").cast("string")
     source = F.concat(
         F.coalesce("text", F.lit("")), F.lit("\n• see IEC 60"), F.lpad(code, 4, "0"), F.lit("-2 at ½ of 3,2"), F.lpad((F.col("doc_id") % 100).cast("string"), 2, "0"), F.lit(" mm², P/N: AB-"), code,
@@ -104,7 +111,7 @@ judged AS (
 
 def layout_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document as one page: words on a grid of 40 by 14 points, the first line in larger type."""
-    docs = table(spark, sf_dir, "documents").select(F.lit("documents").alias("doc_sha"), F.col("doc_id").cast("int").alias("page_no"), "text")
+    docs = spread(table(spark, sf_dir, "documents").select(F.lit("documents").alias("doc_sha"), F.col("doc_id").cast("int").alias("page_no"), "text"))
     lines = docs.select("doc_sha", "page_no", F.posexplode(F.split("text", "\n")).alias("line", "t"))
     pieces = lines.select("doc_sha", "page_no", "line", F.posexplode(F.split("t", " ")).alias("k", "text"))
     placed = pieces.filter("text <> ''").withColumn("x0", 72.0 + 40 * F.col("k")).withColumn("top", 72.0 + 14 * F.col("line"))

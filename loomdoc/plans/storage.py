@@ -9,7 +9,7 @@ from loomdoc import config as C
 from loomdoc.functions import pages as P
 from loomdoc.functions import terms as K
 from loomdoc.operators import export, results, translate
-from loomdoc.plans.common import EDGE, table
+from loomdoc.plans.common import EDGE, spread, table
 from loomdoc.streaming import jobs
 
 #: Terms that no other term contains, frequent in the synthetic texts.
@@ -20,7 +20,7 @@ _NO_TERMS = "array<struct<en:string,ko:string,note:string>>"
 def glossary_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Terms of a small glossary in every document, by name."""
     glossary = spark.range(1).select(F.inline(F.array(*[F.struct(F.lit(t).alias("en"), F.lit(t.upper()).alias("ko"), F.lit("").alias("note"), F.lit(k).alias("pos")) for k, t in enumerate(TERMS)])))
-    found = table(spark, sf_dir, "documents").withColumn("m", K.match_terms(F.col("text"), glossary))
+    found = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).withColumn("m", K.match_terms(F.col("text"), glossary))
     return found.select("doc_id", F.array_join(F.array_sort(F.transform("m", lambda t: t["en"])), ",").alias("terms"), F.size("m").alias("n_terms"))
 
 
