@@ -203,7 +203,7 @@ LEFT JOIN part b ON a.p_brand = b.p_brand AND b.p_partkey > a.p_partkey AND b.p_
 SELECT page_no, count(*) FILTER (WHERE q % 5 <> 0) AS answered, count(*) FILTER (WHERE q % 7 = 0 AND q % 5 <> 0) AS twice, (count(*) FILTER (WHERE q % 5 = 0))::INT AS n_missing, (count(*) FILTER (WHERE q = 1))::INT AS n_unknown FROM i GROUP BY page_no""",
     "html_export": """WITH l AS (SELECT doc_id, list_transform(list_filter(list_transform(string_split(text, chr(10)), lambda x, i: {'i': i, 't': x}), lambda x: x.t <> ''),
   lambda x: CASE WHEN x.i = 1 THEN '<h3>' ELSE '<p>' END || replace(replace(replace(replace(replace(x.t, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#x27;') || CASE WHEN x.i = 1 THEN '</h3>' ELSE '</p>' END) AS h FROM documents)
-SELECT doc_id, md5('<div class=''page''><div class=''src''><div class=''page-label''>p.' || CASE WHEN doc_id < 1000 THEN lpad(doc_id::VARCHAR, 3, '0') ELSE doc_id::VARCHAR END || '</div></div><div class=''tgt''>' || array_to_string(h, '') || '</div></div>') AS html_md5 FROM l""",
+SELECT doc_id, md5('<div class=''page''><div class=''source''><div class=''number''>p.' || CASE WHEN doc_id < 1000 THEN lpad(doc_id::VARCHAR, 3, '0') ELSE doc_id::VARCHAR END || '</div></div><div class=''target''>' || array_to_string(h, '') || '</div></div>') AS html_md5 FROM l""",
     "html_blocks": "SELECT page_id, type, count(*) AS n, sum(length(t))::BIGINT AS chars FROM ("
     + " UNION ALL ".join(f"SELECT page_id, '{kind}' AS type, unnest(regexp_extract_all(html, '(?s)<{tag}(?: [^>]*)?>(.*?)</{tag}>', 1)) AS t FROM pages" for tag, kind in (("h1", "heading"), ("li", "list"), ("footer", "header_footer"), ("p", "paragraph")))
     + ") GROUP BY ALL",
