@@ -10,8 +10,8 @@ With 48 bands of 5 a pair at similarity 0.75 is missed with probability 2.3e-6,
 
 Candidates are not all pairs of a bucket. Members are first held against the bucket's hub. Documents of one component need no further link, so only buckets
 that still hold several components go on, without documents that cannot reach the threshold: a link to another component needs
-3/7 of both sizes in shingles which other components have. Pairs of what is left are formed only when they are
-few beside the rows; else the next hub is tried.
+3/7 of both sizes in shingles which other components have. Pairs of what is left are formed when they are few beside
+the rows or when hubs find no more; else the next hub is tried.
 """
 
 from __future__ import annotations
@@ -34,8 +34,12 @@ COORDINATES = BANDS * ROWS
 ENOUGH = (75, 100)
 #: Tables of ids up to this size are broadcast, larger ones are joined by a shuffle.
 BROADCAST_BYTES = 32 << 20
-#: Hub rounds before what is left is compared whole.
+#: What is left is compared pair by pair if that makes no more pairs than this for each row.
+PAIRS_A_ROW = 64
+#: Hub rounds before it is compared in any case.
 HUB_ROUNDS = 8
+#: Components from this many documents on are large.
+LARGE = 8
 PLACED, MAX_WORDS = 2048, 500_000
 
 _U = np.uint64
@@ -139,35 +143,69 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _against_hubs(members: DataFrame, score: Column) -> DataFrame:
-    """Each bucket's members with the one that scores highest, if their components differ."""
-    hubs = members.groupBy("key").agg(F.max(F.struct(score.alias("s"), F.col("rep"), F.col("n"), F.col("comp"))).alias("hub"))
-    found = members.join(hubs, "key").filter((F.col("comp") != F.col("hub.comp")) & _close(F.col("n"), F.col("hub.n")))
+    """Each bucket's members with the one that scores highest, if their components differ and their sizes and caps allow a link."""
+    hubs = members.groupBy("key").agg(F.max(F.struct(score.alias("s"), F.col("rep"), F.col("n"), F.col("comp"), F.col("cap"))).alias("hub"))
+    allowed = _close(F.col("n"), F.col("hub.n")) & (F.col("n") <= F.col("hub.cap")) & (F.col("hub.n") <= F.col("cap"))
+    found = members.join(hubs, "key").filter((F.col("comp") != F.col("hub.comp")) & allowed)
     return found.select(F.least("rep", "hub.rep").alias("a"), F.greatest("rep", "hub.rep").alias("b")).distinct()
 
 
+def _all_pairs(live: DataFrame) -> DataFrame:
+    """Pairs of different components whose sizes and caps allow a link, each once: in the smallest of the buckets' keys that both are in."""
+    keyed = live.join(live.groupBy("rep").agg(F.collect_list("key").alias("keys")), "rep")  # a document has one key a band
+    other = keyed.select("key", *[F.col(c).alias(f"{c}2") for c in ("rep", "n", "comp", "big", "cap_l", "cap_s", "keys")])
+    meets = (F.col("n2") <= F.when(F.col("big2"), F.col("cap_l")).otherwise(F.col("cap_s"))) & (F.col("n") <= F.when(F.col("big"), F.col("cap_l2")).otherwise(F.col("cap_s2")))
+    allowed = (F.col("rep") < F.col("rep2")) & (F.col("comp") != F.col("comp2")) & _close(F.col("n"), F.col("n2")) & meets
+    near = keyed.join(other, "key").filter(allowed & (F.array_min(F.array_intersect("keys", "keys2")) == F.col("key")))
+    return near.select(F.col("rep").alias("a"), F.col("rep2").alias("b"))
+
+
 def _mixed(members: DataFrame) -> DataFrame:
     """Rows of buckets that hold more than one component."""
-    keys = members.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("n").alias("least")).filter("lo <> hi").select("key", "least")
-    return members.join(keys, "key")
+    keys = members.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("key")
+    return members.join(keys, "key", "left_semi")
+
+
+def _capped(mixed: DataFrame, sets: DataFrame) -> DataFrame:
+    """Rows with ``cap``, the largest size that a document of another component here can have to link with the row's.
+
+    A link needs |x & y| >= 3/7 (|x| + |y|), and x has no more in common with y than with all other components: u(x) shingles, so
+    |y| <= 7/3 u(x) - |x|. Documents of large components (``big``) and of small ones have a cap each: ``cap_l`` and ``cap_s``.
+    """
+    docs = mixed.select("rep", "comp").distinct()
+    sizes = docs.groupBy("comp").agg((F.count("*") >= LARGE).alias("big"))
+    own = docs.join(sizes, "comp").join(sets, "rep").select("rep", "comp", "big", F.explode("items").alias("item"))
+    at = lambda f, big: f(F.when(F.col("big") == big, F.col("comp")))
+    held = own.groupBy("item").agg(at(F.min, True).alias("l1"), at(F.max, True).alias("l2"), at(F.min, False).alias("s1"), at(F.max, False).alias("s2"))
+    held = held.filter(F.least("l1", "s1") != F.greatest("l2", "s2"))
+    other = lambda lo, hi: F.count_if((F.col(lo) != F.col("comp")) | (F.col(hi) != F.col("comp")))
+    reach = own.join(held, "item").groupBy("rep", "big").agg(other("l1", "l2").alias("ul"), other("s1", "s2").alias("us"))
+    caps = mixed.join(reach, "rep").select("key", "rep", "n", "comp", "big", (F.expr("7 * ul div 3") - F.col("n")).alias("cap_l"), (F.expr("7 * us div 3") - F.col("n")).alias("cap_s"))
+    return caps.withColumn("cap", F.greatest("cap_l", "cap_s"))
 
 
 def _hopeful(members: DataFrame, sets: DataFrame) -> DataFrame:
-    """Rows of ``members`` whose document has enough shingles in common with other components here to link with any of them."""
-    mixed = _mixed(members)
-    own = mixed.select("rep", "comp").distinct().join(sets, "rep").select("rep", "comp", F.explode("items").alias("item"))
-    shared = own.groupBy("item").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("item")
-    reach = own.join(shared, "item").groupBy("rep").agg(F.count("*").alias("u"))
-    # |x & y| >= 3/7 (|x| + |y|), and |y| is at least 3/4 |x| and at least the bucket's least
-    need = 3 * (F.col("n") + F.greatest(F.ceil(F.col("n") * 0.75), F.col("least")))
-    return mixed.join(reach, "rep").filter(7 * F.col("u") >= need).select("key", "rep", "n", "comp")
+    """Rows whose bucket holds another component with a document small enough for the row's cap, and one whose cap the row meets."""
+    capped = _capped(_mixed(members), sets)
+    per = capped.groupBy("key", "comp").agg(F.min("n").alias("lo"), F.max("cap").alias("hi"))
+    one = per.groupBy("key").agg(F.min(F.struct("lo", "comp")).alias("a"), F.max(F.struct("hi", "comp")).alias("b"))
+    two = (
+        per.join(one, "key")
+        .groupBy("key", "a", "b")
+        .agg(F.min(F.when(F.col("comp") != F.col("a.comp"), F.col("lo"))).alias("lo2"), F.max(F.when(F.col("comp") != F.col("b.comp"), F.col("hi"))).alias("hi2"))
+    )
+    least = F.when(F.col("comp") == F.col("a.comp"), F.col("lo2")).otherwise(F.col("a.lo"))
+    most = F.when(F.col("comp") == F.col("b.comp"), F.col("hi2")).otherwise(F.col("b.hi"))
+    fits = (F.col("cap") >= least) & (4 * F.col("cap") >= 3 * F.col("n")) & (most >= F.col("n"))
+    return _mixed(capped.join(two, "key").filter(fits).select(*capped.columns))
 
 
 def linked(docs: DataFrame, column: str = "text") -> DataFrame:
     """doc_id, ``n_shingles``, ``component_id`` (smallest doc_id reachable over links) and ``kept`` for every row.
 
     Null and empty texts and texts without words have no shingles and stand alone. Rows with a null doc_id take no part: component null, kept.
-    Rows equal in doc_id and shingles are one document and are kept or dropped together; rows that share a doc_id but
-    not their shingles link on their own. Equal sets are one class and are compared once, so large groups of copies cost a
+    Rows equal in doc_id and shingles are one document and are kept or dropped together; of rows that share a doc_id but
+    not their shingles, each is judged by the component of its shingles. Equal sets are one class and are compared once, so large groups of copies cost a
     join. Extra columns are not read; an empty table gives no rows. Executors may be lost at any time: every step
     starts from tables in the shared folder.
     """
@@ -189,9 +227,9 @@ def linked(docs: DataFrame, column: str = "text") -> DataFrame:
     texts = docs.select("doc_id", F.coalesce(F.col(column), F.lit("")).cast("binary").alias("t")).join(wanted, "doc_id", "left_semi")
     take = F.pandas_udf(_sets, "array<long>")
     made_sets = texts.select(F.col("doc_id").alias("rep"), take("t").alias("items"))
-    # a doc_id with several texts may bring sets of other classes along
-    sets, at_sets = materialise(made_sets.dropDuplicates(["rep"]) if docs.select("doc_id").groupBy("doc_id").count().filter("count > 1 AND doc_id IS NOT NULL").limit(1).count() else made_sets, "sets")
-    live = members.join(scores, "rep").select("key", "rep", "n", "score", F.col("rep").alias("comp"))
+    # a doc_id with several texts has a set for each, and a link of any of them counts
+    sets, at_sets = materialise(made_sets, "sets")
+    live = members.join(scores, "rep").select("key", "rep", "n", "score", F.col("rep").alias("comp"), F.lit(1 << 30).alias("cap"))
     links, paths = None, []
     for turn in range(HUB_ROUNDS + 1):
         if turn == 0:
@@ -202,15 +240,14 @@ def linked(docs: DataFrame, column: str = "text") -> DataFrame:
             ).first()  # one row
             if not rows:
                 break
-            last = turn == HUB_ROUNDS or cross <= 4 * rows
+            last = turn == HUB_ROUNDS or not fresh or cross <= PAIRS_A_ROW * rows
             if last:
-                other = live.select("key", F.col("rep").alias("b"), F.col("comp").alias("comp2"), F.col("n").alias("n2"))
-                near = live.join(other, "key").filter((F.col("rep") < F.col("b")) & (F.col("comp") != F.col("comp2")) & _close(F.col("n"), F.col("n2")))
-                pairs = near.select(F.col("rep").alias("a"), "b").distinct()
+                pairs = _all_pairs(live)
             else:
                 pairs = _against_hubs(live, F.xxhash64("rep", F.lit(turn)))
         new, path = materialise(_verified(pairs, sets), "verified")
         paths.append(path)
+        fresh = not new.isEmpty()
         links = new if links is None else links.union(new)
         comps = components(links)
         if turn and last:

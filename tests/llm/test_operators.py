@@ -147,6 +147,13 @@ def test_near_duplicates_of_odd_rows(spark, odd):
     assert kept.columns == [*odd.columns, "kept"] and kept.filter("doc_id = 5").count() == 0 and kept.count() == len(ODD) - 1
 
 
+def test_one_id_with_several_texts(spark):
+    a, b = (" ".join(f"{x}{k}" for k in range(30)) for x in "ab")
+    rows = [(7, a), (7, b), (8, b), (9, a + " more"), (5, b + " more"), (3, "alone and short text here")]
+    got = sorted((r["doc_id"], r["component_id"]) for r in neardup.linked(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [(3, 3), (5, 5), (7, 5), (7, 5), (8, 5), (9, 5)]
+
+
 def test_components(spark):
     import random
 
