@@ -19,6 +19,7 @@ Tasks write under names of their own attempt and the manifest lists only the att
 from __future__ import annotations
 
 import os
+import re
 import struct
 import uuid
 import zlib
@@ -40,6 +41,8 @@ BLOCK_IDS, LEVEL = 1 << 16, 3
 #: Cached words are dropped beyond this count, which bounds memory and changes no result.
 MAX_WORDS = 1_000_000
 SIGNS = b".,;:!?"
+#: A capital before a character from U+0300 on, which may be a mark that composes with it.
+MARKED = re.compile(rb"[A-Z][\xcc-\xf4]")
 
 
 def planes(ids: np.ndarray, bits: bool) -> list[bytes]:
@@ -149,6 +152,17 @@ class Reader:
             start += n
 
 
+def _words(text: bytes) -> list[bytes]:
+    """Words, in lower case (A-Z) where that changes no id.
+
+    The vocabulary composes (NFC) before it lower-cases, and some marks compose with a letter's lower case alone (J, H, T, W, Y). Marks
+    are at U+0300 and above and compose with a capital only in the word it stands in, so such words stay as they are.
+    """
+    if text.isascii() or not MARKED.search(text):
+        return text.lower().split()
+    return [w if MARKED.search(w) else w.lower() for w in text.split()]
+
+
 class Tokenizer:
     """Ids of the tokenizers library for whole texts.
 
@@ -164,8 +178,7 @@ class Tokenizer:
         self.words: dict[bytes, bytes] = {}
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
-        # the vocabulary is of lower case, so words that differ in A-Z alone share their ids
-        split = [t.lower().split() for t in texts]
+        split = [_words(t) for t in texts]
         known = self.words
         if len(known) > MAX_WORDS:
             known.clear()

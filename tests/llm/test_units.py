@@ -173,6 +173,19 @@ def test_word_ids_equal_the_library(texts):
     assert [ids_of(x) for x in got] == [e.ids for e in own.encode_batch(texts, add_special_tokens=False)]
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.text("JHTWYAKjhtwy \u030c\u0331\u0308\u030a\u0323\u0301\u0344.,日é\u212a", max_size=12), max_size=4))
+@example(["H\u0331amza J\u030cx W\u030a", "T\u0308 Y\u030a, J\u0323\u030cX. AJ\u030c", "PLAIN Words \u0130 É"])
+def test_capitals_with_marks_equal_the_library(texts):
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    own = Tokenizer.from_file(path)
+    own.encode_special_tokens = True
+    got = tokenfile.tokenizer(path).encode([t.encode() for t in texts])
+    assert [ids_of(x) for x in got] == [e.ids for e in own.encode_batch(texts, add_special_tokens=False)]
+
+
 # ---- 8
 def said(rng, n):
     words = lambda k: " ".join(rng.choice(["alpha", "beta", "gamma", "delta"]) for _ in range(k))
