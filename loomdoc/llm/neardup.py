@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from loomdoc.llm import batches
 from loomdoc.llm.graph import components
-from loomdoc.llm.store import discard, materialise
+from loomdoc.llm.store import discard, materialise, packed, unpacked
 
 WORDS, BANDS, ROWS = 5, 48, 5
 COORDINATES = BANDS * ROWS
@@ -41,6 +41,7 @@ HUB_ROUNDS = 8
 #: Components from this many documents on are large.
 LARGE = 8
 PLACED, MAX_WORDS = 2048, 500_000
+SKETCH = "n long, f1 long, f2 long, bands array<long>"
 
 _U = np.uint64
 
@@ -209,10 +210,15 @@ def linked(docs: DataFrame, column: str = "text") -> DataFrame:
     join. Extra columns are not read; an empty table gives no rows. Executors may be lost at any time: every step
     starts from tables in the shared folder.
     """
+    return _judged(docs, column).drop("f1", "f2")
+
+
+def _judged(docs: DataFrame, column: str) -> DataFrame:
+    """``linked`` with the fingerprint of each row's shingles, ``f1`` and ``f2``."""
     spark = docs.sparkSession
     batches.bound(spark)
     text = F.coalesce(F.col(column), F.lit("")).cast("binary")
-    made = F.pandas_udf(_sketched, "n long, f1 long, f2 long, bands array<long>")
+    made = F.pandas_udf(_sketched, SKETCH)
     sketches, at_sketches = materialise(docs.select("doc_id", made(text).alias("s")).select("doc_id", "s.*"), "sketches")
     classes, at_classes = materialise(
         sketches.filter("n > 0 AND doc_id IS NOT NULL").groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands")), "classes"
@@ -258,7 +264,7 @@ def linked(docs: DataFrame, column: str = "text") -> DataFrame:
     named = classes.join(comps, F.col("rep") == F.col("node"), "left").select("f1", "f2", F.coalesce("comp", "rep").alias("comp"))
     out = sketches.select("doc_id", "n", "f1", "f2").join(named, ["f1", "f2"], "left")
     component = F.when(F.col("doc_id").isNull(), F.lit(None)).otherwise(F.coalesce("comp", "doc_id"))
-    result = out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
+    result = out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"), "f1", "f2")
     discard(spark, at_members, at_scores, at_sets, *[p for p in paths if "/live-" in p])
     del at_sketches, at_classes
     return result
@@ -266,6 +272,33 @@ def linked(docs: DataFrame, column: str = "text") -> DataFrame:
 
 def without_near_duplicates(docs: DataFrame, column: str = "text") -> DataFrame:
     """``docs`` with one document of each component, the one with the smallest doc_id. Texts are not shuffled unless the
-    ids to drop exceed what may be broadcast."""
-    dropped, _ = materialise(linked(docs, column).filter("NOT kept").select("doc_id").distinct(), "dropped")
-    return docs.join(_sized(dropped, dropped.count()), "doc_id", "left_anti").select(*docs.columns)
+    ids to drop exceed what may be broadcast.
+
+    Of a doc_id with several texts each goes or stays by its own shingles. Rows with a null doc_id take part under numbers beyond the
+    largest doc_id, which depend on the text alone; of equal ones one row stays.
+    """
+    spark = docs.sparkSession
+    nulls, top = docs.agg(F.count_if(F.col("doc_id").isNull()), F.coalesce(F.max("doc_id"), F.lit(0))).first()  # one row
+    # texts that are equal share a number; others meet with the chance of a hash collision
+    number = F.lit(max(top, 0)) + 1 + F.pmod(F.xxhash64(column, F.lit(2)), F.lit(max(1, (1 << 63) - 2 - max(top, 0))))
+    own = (F.coalesce(F.col("doc_id"), number) if nulls else F.col("doc_id")).cast("long")
+    judged = _judged(docs.select(own.alias("doc_id"), F.col(column).alias("text")), "text")
+    dropped, _ = materialise(judged.filter("NOT kept").select("doc_id", "f1", "f2").distinct(), "dropped")
+    ids = dropped.select("doc_id").distinct()
+    # ids that lose some of their texts
+    mixed, _ = materialise(judged.filter("kept").select("doc_id").join(_sized(ids, dropped.count()), "doc_id", "left_semi").distinct(), "mixed")
+    some = mixed.count()
+    whole = ids.join(_sized(mixed, some), "doc_id", "left_anti") if some else ids
+    rows = packed(docs, _id=own, _text=column, _known=F.col("doc_id").isNotNull())
+    gone = lambda t: _sized(t, dropped.count())
+    left = rows.join(gone(whole.withColumnRenamed("doc_id", "_id")), "_id", "left_anti")
+    if some:
+        made = F.pandas_udf(_sketched, SKETCH)(F.coalesce("_text", F.lit("")).cast("binary"))
+        several = left.join(_sized(mixed.withColumnRenamed("doc_id", "_id"), some), "_id", "left_semi").withColumn("_s", made)
+        several = several.select("*", F.col("_s.f1").alias("f1"), F.col("_s.f2").alias("f2")).drop("_s")
+        several = several.join(gone(dropped.withColumnRenamed("doc_id", "_id")), ["_id", "f1", "f2"], "left_anti").select(left.columns)
+        left = left.join(_sized(mixed.withColumnRenamed("doc_id", "_id"), some), "_id", "left_anti").select(left.columns).unionAll(several)
+    if nulls:
+        worded = ~F.col("_known") & F.coalesce(F.col("_text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+        left = left.filter(~worded).unionAll(left.filter(worded).dropDuplicates(["_id"]))
+    return unpacked(left, docs.columns, [])

@@ -154,6 +154,15 @@ def test_one_id_with_several_texts(spark):
     assert got == [(3, 3), (5, 5), (7, 5), (7, 5), (8, 5), (9, 5)]
 
 
+def test_rows_are_dropped_by_their_own_text(spark):
+    a, b, c = (" ".join(f"{x}{k}" for k in range(30)) for x in "abc")
+    schema = "doc_id long, text string, f1 string"
+    left = lambda rows: sorted(tuple(r) for r in neardup.without_near_duplicates(spark.createDataFrame([(*r, "mine") for r in rows], schema)).select("doc_id", "text").na.fill(-1, ["doc_id"]).collect())
+    assert left([(7, a), (7, b), (5, b)]) == [(5, b), (7, a)]
+    assert left([(None, a), (None, a), (None, a + " more"), (None, b), (3, b), (None, ""), (None, "")]) in [sorted([(3, b), (-1, x), (-1, ""), (-1, "")]) for x in (a, a + " more")]
+    assert left([(None, c), (-4, c + " more"), (2**62, a), (None, a)]) == sorted([(-4, c + " more"), (2**62, a)])
+
+
 def test_components(spark):
     import random
 
