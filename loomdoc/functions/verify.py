@@ -136,13 +136,31 @@ def _quoted(cell: Column) -> Column:
     return F.when(cell.isNull(), "None").otherwise(F.concat(F.lit("'"), cell, F.lit("'")))
 
 
-def check_table(source: Column, target: Column, compose: Callable[[Column], Column] = nfkc_table) -> Column:
+def composed_cells(grid: Column, compose: Callable[[Column], Column]) -> Column:
+    """Stripped cells after fractions and ``compose``, which sees a grid as one text: Python functions can't stand inside a transform.
+
+    Separators compose with nothing. One inside a cell becomes another control character; no number holds either.
+    """
+
+    def cell(text: Column) -> Column:
+        text = F.translate(F.coalesce(strip(text), F.lit("")), "\x1d\x1e", "\x1f\x1f")
+        for sign, value in C.FRACTIONS.items():
+            text = F.replace(text, F.lit(sign), F.lit(value))
+        return text
+
+    rows = F.transform(grid, lambda row: F.coalesce(F.array_join(F.transform(row, cell), "\x1e"), F.lit("")))
+    return F.transform(F.split(compose(F.array_join(rows, "\x1d")), "\x1d"), lambda row: F.split(row, "\x1e"))
+
+
+def check_table(source: Column, target: Column, compose: Callable[[Column], Column] = nfkc_table, composed: Column | None = None) -> Column:
     """Verdict on a grid: as many rows and first-row columns, and numeric cells unchanged. Cells whose number is
-    not written the English way, and null cells, are not judged; ragged rows are compared as far as both go."""
+    not written the English way, and null cells, are not judged; ragged rows are compared as far as both go.
+    ``composed`` holds the source's ``composed_cells``; without it each cell is composed here."""
     width = lambda grid: F.when(F.size(grid) > 0, F.coalesce(F.size(grid[0]), F.lit(0))).otherwise(0)
 
     def cell(r: Column, c: Column, s: Column, o: Column) -> Column:
-        number = normalise(strip(s), compose)
+        number = normalise(strip(s), compose) if composed is None else normalise(F.get(F.get(composed, r), c), lambda text: text)
+        r, c = r.cast("string"), c.cast("string")
         judged = s.isNotNull() & number.rlike(f"(?U)^-?{C.NUMBER}$") & is_english_number(number)
         changed = strip(F.coalesce(o, F.lit(""))) != strip(s)
         return F.when(judged & changed, F.concat(F.lit("["), r, F.lit(","), c, F.lit("] "), _quoted(s), F.lit(" -> "), _quoted(o)))
@@ -150,7 +168,7 @@ def check_table(source: Column, target: Column, compose: Callable[[Column], Colu
     def row(pair: Column, r: Column) -> Column:
         both = F.arrays_zip(pair["s"].alias("s"), pair["o"].alias("o"))
         known = F.slice(both, F.lit(1), F.least(F.size(pair["s"]), F.size(pair["o"])))
-        return F.transform(known, lambda x, c: cell(r.cast("string"), c.cast("string"), x["s"], x["o"]))
+        return F.transform(known, lambda x, c: cell(r, c, x["s"], x["o"]))
 
     rows = F.transform(F.zip_with(source, target, lambda s, o: F.struct(s.alias("s"), o.alias("o"))), row)
     missing = F.filter(F.flatten(rows), lambda x: x.isNotNull())
@@ -169,8 +187,10 @@ def with_block_check(df: DataFrame, compose: Callable[[Column], Column] = nfkc)
     and keep the verdict they have."""
     kind = F.col("type")
     held = with_text_check(df, F.col("source"), F.col("ko"), "_text", compose)
-    verdict = F.when(kind.isin("header_footer", "figure"), F.col("verify")).when(kind == "table", check_table(F.col("table.cells_src"), F.col("table.cells_ko"))).otherwise(F.col("_text"))
-    return held.withColumn("verify", verdict).drop("_text")
+    held = held.withColumn("_cells", composed_cells(F.when(kind == "table", F.col("table.cells_src")), compose))
+    table = check_table(F.col("table.cells_src"), F.col("table.cells_ko"), composed=F.col("_cells"))
+    verdict = F.when(kind.isin("header_footer", "figure"), F.col("verify")).when(kind == "table", table).otherwise(F.col("_text"))
+    return held.withColumn("verify", verdict).drop("_text", "_cells")
 
 
 def out_of_scope(kind: Column) -> Column:

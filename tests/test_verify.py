@@ -73,6 +73,20 @@ def test_table_cases(spark):
     assert rows[5]["v"]["missing"] == [C.NOTE_NO_TABLE]
 
 
+def test_table_blocks_have_full_nfkc(spark):
+    """A changed number passed in every cell that only NFKC makes a number."""
+    cells = ["⁵", "①", "𝟏𝟐", "12\u202f000", "５", "½", "\u00a07 ", "x⁵", "1\x1e2", "71,36"]
+    grids = [([cells, ["a"], [], [None, "⁸"]], [["0"] * 10, ["b"], [], ["1", "9"]]), ([["⁵"]], [["⁵"]]), ([], [["1"]]), (None, None), ([["1"]], None)]
+    rows = [(i, "table", None, None, (a, b), None) for i, (a, b) in enumerate(grids)] + [(9, "paragraph", "5 A", "6 A", None, None)]
+    verify = "struct<status:string,missing:array<string>,reason:string>"
+    df = spark.createDataFrame(rows, f"i int, type string, source string, ko string, table struct<cells_src:array<array<string>>,cells_ko:array<array<string>>>, verify {verify}")
+    for compose in (V.nfkc, V.nfkc_table):
+        got = V.with_block_check(df, compose).orderBy("i").collect()
+        assert [r["verify"]["status"] for r in got] == ["warn", "ok", "ok", "ok", "warn", "warn"]
+        if compose is V.nfkc:
+            assert got[0]["verify"]["missing"] == [*(f"[0,{k}] '{cells[k]}' -> '0'" for k in range(7)), "[3,1] '⁸' -> '9'"]
+
+
 def test_formulas_and_cleaning(spark):
     yes = ["x 4 8 f y s ; x 2 10 7 k (2.2) s 192 0,8 x 4 s R s s DC", " 0,2857W/mK c2300Ws/kgK  930kg/m 3 PE, , ,", "k =0,35 , k =0,2 s p", "Ra =Pr·Gr . (2.12)"]
     no = ["The conductor shall comply with IEC 60228 Class 2.", "Der Wert ist sehr wichtig für die Berechnung.", "für eine um 10 cm", "Abb. 3: Aufbau des Kabels ................. 12", ""]
