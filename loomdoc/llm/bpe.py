@@ -2,9 +2,12 @@
 
 An encoding is the one sequence of tokens in which each neighbouring pair survives its own merging: a merge across a
 boundary would have happened in the pair alone. So after each byte exactly one token can end there, and the only
-prefixes that still matter are those from which a vocabulary entry can go on. A machine state is that set of live
-prefixes (trie node, last token, tokens not yet common to all); its transitions are made on first use. Tokens common
-to all live prefixes are emitted at once, so the lookahead is at most the longest entry.
+prefixes that still matter are those from which a vocabulary entry that can stand goes on. A machine state is that set
+of live prefixes: trie node and last token before it, or, once few entries remain below the node, the entries that can
+stand, so that last tokens which allow the same entries share a state. Transitions are made on first use; a transition
+emits the token that ends at its byte. The tokens are those on the way back from the end, and wherever the ways of all
+live prefixes meet, what lies before is settled: no live prefix is longer than the longest entry, which bounds the
+lookahead.
 """
 
 from __future__ import annotations
@@ -12,6 +15,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import struct
+from array import array
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
@@ -22,8 +26,19 @@ from pyspark.sql import functions as F
 from loomdoc.llm import batches
 from loomdoc.llm.store import packed, unpacked
 
-#: Transitions and cached segments are rebuilt beyond these counts, which bounds memory and changes no result.
-MAX_TRANSITIONS, MAX_SEGMENTS = 400_000, 300_000
+#: Bytes that a worker's transitions, and its table of known stretches of text, may take, by estimate. Beyond them they are made
+#: anew, which changes no result.
+MACHINE_BYTES, STRETCH_BYTES = 80 << 20, 32 << 20
+#: Estimated bytes of a state, a transition, a remembered pair and a remembered live prefix.
+STATE, MOVE, PAIR, MEMBER = 460, 90, 70, 100
+#: Nodes with at most this many entries below are known by the entries that can stand.
+FEW = 12
+#: Bytes of a piece after which settled tokens are taken off.
+SETTLE = 4096
+#: Longest stretch of text that is remembered.
+STRETCH = 64
+
+_LOW = (1 << 32) - 1
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -31,120 +46,228 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
 
 
+class Merges:
+    """Which tokens come from which two, and which pairs of tokens survive side by side."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        size = max(ranks.values(), default=-1) + 1
+        self.left, self.right = array("i", range(size)), array("i", range(size))  # single bytes are their own halves
+        self.reached = bytearray(size)
+        self.joins: dict[int, int] = {}
+        get = ranks.get
+        for text, rank in sorted(ranks.items(), key=lambda x: x[1]):
+            if len(text) == 1:
+                self.reached[rank] = 1
+                continue
+            for cut in range(1, len(text)):
+                a, b = get(text[:cut], rank), get(text[cut:], rank)
+                if a < rank and b < rank and self.reached[a] and self.survive(a, b):
+                    self.left[rank], self.right[rank], self.reached[rank] = a, b, 1
+                    self.joins[a << 32 | b] = rank
+                    break
+
+    def survive(self, a: int, b: int) -> bool:
+        """Whether the merges leave the boundary between ``a`` and ``b``, going back through both tokens' merges, latest first: the two
+        neighbours of a moment must not have a merge that is due before either of them is next merged."""
+        if not self.reached[b]:
+            return False
+        joins, left, right = self.joins, self.left, self.right
+        due = 1 << 40
+        while True:
+            if joins.get(a << 32 | b, due) < due:
+                return False
+            inner, outer = right[a], left[b]
+            if inner != a and (a > b or outer == b):
+                a, due = inner, a
+            elif outer != b:
+                b, due = outer, b + 1  # of equal ranks the left one goes first
+            else:
+                return True
+
+
+class State(dict):
+    """Transitions by byte: next state and the token that ends; made on first use."""
+
+    __slots__ = ("live", "machine")
+
+    def __missing__(self, byte: int) -> tuple[State, int]:
+        out = self[byte] = self.machine.advance(self.live, byte)
+        return out
+
+
 class Transducer:
     """Encodes one piece of bytes at a time."""
 
-    def __init__(self, ranks: dict[bytes, int]):
-        self.ranks = ranks
-        self.token = {i: t for t, i in ranks.items()}
-        self.children: list[dict[int, int]] = [{}]
-        self.entry = [-1]
-        for text, rank in ranks.items():
-            node = 0
+    def __init__(self, ranks: dict[bytes, int], size: int = MACHINE_BYTES):
+        self.ranks, self.most = ranks, size
+        self.merges = Merges(ranks)
+        self.length = array("i", bytes(4 * (max(ranks.values(), default=-1) + 1)))
+        self.child: dict[int, int] = {}
+        self.entry, self.depth = array("i", [-1]), array("i", [0])
+        # in the order of their bytes, the entries below a node are one stretch
+        self.order = array("i")
+        self.low, self.high = array("i", [0]), array("i", [len(ranks)])
+        for text, rank in sorted(ranks.items()):
+            node, self.length[rank] = 0, len(text)
+            place = len(self.order)
+            self.order.append(rank)
             for byte in text:
-                nxt = self.children[node].get(byte)
+                nxt = self.child.get(node << 8 | byte)
                 if nxt is None:
-                    nxt = len(self.children)
-                    self.children[node][byte] = nxt
-                    self.children.append({})
+                    nxt = self.child[node << 8 | byte] = len(self.entry)
                     self.entry.append(-1)
+                    self.depth.append(self.depth[node] + 1)
+                    self.low.append(place)
+                    self.high.append(place)
                 node = nxt
+                self.high[node] = place + 1
             self.entry[node] = rank
-        self.pairs: dict[tuple[int, int], bool] = {}
+            self.low[node] = place + 1
         self.restart()
 
     def restart(self) -> None:
-        start = ((0, -1, ()),)
-        self.number = {start: 0}
-        self.states = [start]
-        self.moves: dict[int, tuple[int, tuple[int, ...]]] = {}
-
-    def merged(self, text: bytes) -> list[int]:
-        """The merges themselves: lowest rank first, leftmost among equals."""
-        get, none = self.ranks.get, 1 << 40
-        parts = [text[i : i + 1] for i in range(len(text))]
-        rank = [get(text[i : i + 2], none) for i in range(len(text) - 1)]
-        while rank and (best := min(rank)) < none:
-            i = rank.index(best)
-            parts[i : i + 2] = [parts[i] + parts[i + 1]]
-            del rank[i]
-            if i:
-                rank[i - 1] = get(parts[i - 1] + parts[i], none)
-            if i < len(rank):
-                rank[i] = get(parts[i] + parts[i + 1], none)
-        return [self.ranks[p] for p in parts]
+        self.pairs: dict[int, bool] = {}
+        self.members: dict[int, int | None] = {}
+        self.classes: list[tuple[int, tuple[int, ...]]] = []
+        self.named: dict[tuple[int, tuple[int, ...]], int] = {}
+        self.states: dict[tuple[int, ...], State] = {}
+        self.made = 0
+        self.start = self.state((0,))
+
+    def size(self) -> int:
+        """Estimated bytes of the tables."""
+        return STATE * len(self.states) + MOVE * self.made + PAIR * len(self.pairs) + MEMBER * (len(self.members) + 2 * len(self.classes))
+
+    def state(self, live: tuple[int, ...]) -> State:
+        found = self.states.get(live)
+        if found is None:
+            found = self.states[live] = State()
+            found.live, found.machine = live, self
+        return found
+
+    def below(self, node: int) -> array:
+        """The entries below a node, itself left out."""
+        return self.order[self.low[node] : self.high[node]]
 
     def stands(self, left: int, right: int) -> bool:
         """Whether ``right`` can follow ``left`` (-1: the start of the piece)."""
-        key = (left, right)
-        known = self.pairs.get(key)
+        if left < 0:
+            return bool(self.merges.reached[right])
+        known = self.pairs.get(left << 32 | right)
         if known is None:
-            if len(self.pairs) > MAX_TRANSITIONS:
-                self.pairs.clear()
-            head = b"" if left < 0 else self.token[left]
-            known = self.pairs[key] = self.merged(head + self.token[right]) == [x for x in key if x >= 0]
+            known = self.pairs[left << 32 | right] = self.merges.survive(left, right)
         return known
 
-    def advance(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
-        live, ended = [], None
-        for node, last, chain in self.states[state]:
-            child = self.children[node].get(byte)
+    def of_class(self, node: int, allowed: tuple[int, ...]) -> int | None:
+        """A live prefix as the complement of its class's number; none if no entry can stand."""
+        if not allowed:
+            return None
+        number = self.named.get((node, allowed))
+        if number is None:
+            number = self.named[node, allowed] = len(self.classes)
+            self.classes.append((node, allowed))
+        return ~number
+
+    def member(self, node: int, left: int) -> int | None:
+        key = node << 32 | left + 1
+        if self.high[node] - self.low[node] > FEW:
+            return key
+        found = self.members.get(key, 0)
+        if found == 0:
+            survive = self.merges.survive
+            found = self.members[key] = self.of_class(node, tuple([t for t in self.below(node) if left < 0 or survive(left, t)]))
+        return found
+
+    def advance(self, live: tuple[int, ...], byte: int) -> tuple[State, int]:
+        out, ended = [], -1
+        for one in live:
+            if one < 0:
+                node, allowed = self.classes[~one]
+            else:
+                node, left = one >> 32, (one & _LOW) - 1
+            child = self.child.get(node << 8 | byte)
             if child is None:
                 continue
             token = self.entry[child]
-            if self.children[child]:
-                live.append((child, last, chain))
-            if token >= 0 and ended is None and self.stands(last, token):
-                ended = (0, token, (*chain, token))
-        if ended is None:
+            if token >= 0 and ended < 0 and (token in allowed if one < 0 else self.stands(left, token)):
+                ended = token
+            if self.low[child] < self.high[child]:
+                if one < 0:
+                    below = self.below(child)
+                    more = self.of_class(child, tuple([t for t in below if t in allowed]))
+                else:
+                    more = self.member(child, left)
+                if more is not None:
+                    out.append(more)
+        if ended < 0:
             raise ValueError(f"the vocabulary lacks byte {byte}")
-        live.append(ended)
-        if len(live) == 1:
-            done, key = ended[2], ((0, ended[1], ()),)
-        else:
-            chains = [chain for _, _, chain in live]
-            first, n, most = chains[0], 0, min(map(len, chains))
-            while n < most and all(chain[n] == first[n] for chain in chains):
-                n += 1
-            done, key = first[:n], tuple((node, last, chain[n:]) for node, last, chain in live) if n else tuple(live)
-        nxt = self.number.setdefault(key, len(self.states))
-        if nxt == len(self.states):
-            self.states.append(key)
-        return nxt, done
+        out.append(ended + 1)
+        self.made += 1
+        return self.state(tuple(out)), ended
+
+    def starts(self, live: tuple[int, ...], at: int) -> set[int]:
+        """Where the live prefixes of a state begin, which is reached at ``at``."""
+        return {at - self.depth[self.classes[~one][0] if one < 0 else one >> 32] for one in live}
+
+    def back(self, ends: list[int], at: int) -> list[int]:
+        """The tokens on the way back from ``at``, in order."""
+        out, length = [], self.length
+        while at:
+            token = ends[at - 1]
+            out.append(token)
+            at -= length[token]
+        out.reverse()
+        return out
+
+    def settled(self, ends: list[int], live: tuple[int, ...]) -> int:
+        """Up to where the tokens are the same for all live prefixes."""
+        places = self.starts(live, len(ends))
+        while len(places) > 1:
+            last = max(places)
+            places.remove(last)
+            places.add(last - self.length[ends[last - 1]])
+        return places.pop()
 
     def encode(self, piece: bytes) -> list[int]:
         whole = self.ranks.get(piece)
         if whole is not None:
             return [whole]
-        if len(self.moves) > MAX_TRANSITIONS:
+        if self.size() > self.most:
             self.restart()
-        out, state, moves = [], 0, self.moves
-        for byte in piece:
-            move = moves.get(state << 8 | byte)
-            if move is None:
-                move = moves[state << 8 | byte] = self.advance(state, byte)
-            state, done = move
-            if done:
-                out += done
-        out += self.states[state][-1][2]
-        return out
-
-
-class _Segments(dict):
+        state, ends, out = self.start, [], []
+        for start in range(0, len(piece), SETTLE):
+            if start:
+                place = self.settled(ends, state.live)
+                out += self.back(ends, place)
+                del ends[:place]
+                if self.size() > self.most:
+                    live = state.live
+                    # class numbers do not outlive a restart
+                    kept = [self.classes[~one] if one < 0 else one for one in live]
+                    self.restart()
+                    state = self.state(tuple([one if isinstance(one, int) else self.of_class(*one) for one in kept]))
+            for byte in piece[start : start + SETTLE]:
+                state, token = state[byte]
+                ends.append(token)
+        return out + self.back(ends, len(ends)) if out else self.back(ends, len(ends))
+
+
+class _Stretches(batches.Bounded):
     """Little-endian ids of a stretch of text that starts at a piece boundary; filled by the transducer on first use."""
 
-    def __init__(self, encoder: Encoder, lead: str):
-        super().__init__()
+    def __init__(self, encoder: Encoder, lead: str, size: int):
+        super().__init__(size)
         self.encoder, self.lead = encoder, lead
 
-    def __missing__(self, text: str) -> bytes:
-        ids = self.encoder.pieces(self.lead + text)
-        out = struct.pack(f"<{len(ids)}I", *ids)
-        if len(text) <= 64:
-            if len(self) >= MAX_SEGMENTS:
-                self.clear()
-            self[text] = out
-        return out
+    def make(self, text: str) -> bytes:
+        if text.isascii() and text.isalpha():  # one piece
+            ids = self.encoder.machine.encode((self.lead + text).encode())
+        else:
+            ids = self.encoder.pieces(self.lead + text)
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def cost(self, text: str, made: bytes) -> int | None:
+        return 190 + 2 * len(text) + len(made) if len(text) <= STRETCH else None
 
 
 class Encoder:
@@ -153,22 +276,14 @@ class Encoder:
     #: a blank after white space does not start a piece for certain
     UNSURE = regex.compile(r"^\s|\s ")
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str):
-        self.machine, self.pattern = Transducer(ranks), regex.compile(pattern)
-        self.known: dict[str, list[int]] = {}
-        self.first, self.spaced, self.alone = _Segments(self, ""), _Segments(self, " "), _Segments(self, "")
+    def __init__(self, ranks: dict[bytes, int], pattern: str, machine_bytes: int = MACHINE_BYTES, stretch_bytes: int = STRETCH_BYTES):
+        self.machine, self.pattern = Transducer(ranks, machine_bytes), regex.compile(pattern)
+        self.first, self.spaced, self.alone = (_Stretches(self, lead, size) for lead, size in (("", stretch_bytes // 8), (" ", stretch_bytes // 4 * 3), ("", stretch_bytes // 8)))
 
     def pieces(self, text: str) -> list[int]:
         out: list[int] = []
         for piece in self.pattern.findall(text):
-            ids = self.known.get(piece)
-            if ids is None:
-                ids = self.machine.encode(piece.encode())
-                if len(piece) <= 64:
-                    if len(self.known) >= MAX_SEGMENTS:
-                        self.known.clear()
-                    self.known[piece] = ids
-            out += ids
+            out += self.machine.encode(piece.encode())
         return out
 
     def encode(self, text: str | None) -> bytes:
@@ -257,7 +372,8 @@ _MADE: dict[tuple, tuple[Encoder, StreamDecoder]] = {}
 
 
 def codec(path: str, pattern: str) -> tuple[Encoder, StreamDecoder]:
-    """One codec a worker process, kept between tasks."""
+    """One codec a worker process, kept between the tasks of this operator."""
+    batches.claim("bpe", _MADE.clear)
     if (path, pattern) not in _MADE:
         ranks = load_ranks(path)
         _MADE[path, pattern] = Encoder(ranks, pattern), StreamDecoder(ranks)

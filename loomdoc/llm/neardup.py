@@ -40,7 +40,8 @@ PAIRS_A_ROW = 64
 HUB_ROUNDS = 8
 #: Components from this many documents on are large.
 LARGE = 8
-PLACED, MAX_WORDS = 2048, 500_000
+#: Shingles placed at once, and bytes of a worker's table of word hashes.
+PLACED, WORD_BYTES = 2048, 24 << 20
 SKETCH = "n long, f1 long, f2 long, bands array<long>"
 
 _U = np.uint64
@@ -59,15 +60,23 @@ _BAND = _mix(np.arange(201, 201 + ROWS, dtype=_U)) | _U(1)
 _BAND_NO = _mix(np.arange(301, 301 + BANDS, dtype=_U))
 
 
-class _WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= MAX_WORDS:
-            self.clear()
-        self[word] = out = xxhash.xxh64_intdigest(word)
-        return out
+class _WordHashes(batches.Bounded):
+    def make(self, word: bytes) -> int:
+        return xxhash.xxh64_intdigest(word)
 
+    def cost(self, word: bytes, made: int) -> int | None:
+        return 180 + len(word) if len(word) <= 64 else None
 
-_words = _WordHashes()
+
+_words = _WordHashes(WORD_BYTES)
+
+
+def _claim() -> None:
+    def release() -> None:
+        global _words
+        _words = _WordHashes(WORD_BYTES)
+
+    batches.claim("neardup", release)
 
 
 def shingles(text: bytes) -> np.ndarray:
@@ -108,6 +117,7 @@ def bands(items: np.ndarray) -> np.ndarray:
 
 
 def _sketched(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    _claim()
     for texts in parts:
         rows = []
         for text in texts:
@@ -121,6 +131,7 @@ def _sketched(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
 
 
 def _sets(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    _claim()
     for texts in parts:
         yield pd.Series([shingles(t).view(np.int64) for t in texts])
 

@@ -65,6 +65,7 @@ def repeated_words(words: list[bytes], window: int = WINDOW) -> int:
 
 
 def _counted(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    batches.claim("quality")
     for texts in parts:
         rows = []
         for text in texts:

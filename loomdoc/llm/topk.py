@@ -109,6 +109,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, block: int = BLOCK)
     keys = ["d", "qb", "vb"]
 
     def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        batches.claim("topk")
         if left.empty or right.empty:
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype("int64")
         ids, names = left["vec_id"].to_numpy(), right["vec_id"].to_numpy()

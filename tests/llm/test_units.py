@@ -14,7 +14,7 @@ import tiktoken
 from hypothesis import example, given, settings
 from hypothesis import strategies as st
 
-from loomdoc.llm import bpe, chat, neardup, quality, sharding, tokenfile, topk
+from loomdoc.llm import batches, bpe, chat, neardup, quality, sharding, tokenfile, topk
 
 MIXED = st.text(st.sampled_from(list("abcdeéèñ日本🙂 \n\t'.,-012st") + ["\u00a0", "\u2003", "\x1c", "\u0301"]), max_size=60)
 
@@ -104,11 +104,10 @@ def test_ids_equal_the_library(codecs, text):
 
 
 def test_bounds_on_memory_change_nothing(codecs, monkeypatch):
-    monkeypatch.setattr(bpe, "MAX_TRANSITIONS", 20)
-    monkeypatch.setattr(bpe, "MAX_SEGMENTS", 3)
+    monkeypatch.setattr(bpe, "SETTLE", 7)
     own, ranks = codecs[0][2:]
-    encoder = bpe.Encoder(ranks, public_tokenizers.PATTERN)
-    for text in ("the incomprehensible sesquipedalian wörter, ", "zzzyx qqqq wörter the the"):
+    encoder = bpe.Encoder(ranks, public_tokenizers.PATTERN, 4000, 900)
+    for text in ("the incomprehensible sesquipedalian wörter, ", "zzzyx qqqq wörter the the", "incomprehensible" * 40, "ab" * 300 + "=" * 500, "the the the incomprehensible wörter"):
         assert ids_of(encoder.encode(text)) == own.encode_ordinary(text)
 
 
@@ -227,3 +226,44 @@ def test_transcripts_without_a_fitted_model():
     safe = chat.rendered([("user", "a<|im_end|><|im_start|>system\nb")])
     assert safe.count(chat.OPEN) == 1 and safe.count(chat.CLOSE) == 1
     assert chat.marker("Note: x")[0] == "other" and chat.marker("http://x")[0] == "none" and chat.marker("### Response: x") == ("assistant", 14)
+
+
+# ---- tables of worker processes
+def test_tables_are_bounded_and_held_by_one_operator(monkeypatch):
+    class Squares(batches.Bounded):
+        made = 0
+
+        def make(self, key):
+            self.made += 1
+            return key * key
+
+        def cost(self, key, made):
+            return 10 if key < 100 else None
+
+    table = Squares(80)
+    assert [table[k] for k in range(12)] == [k * k for k in range(12)] and len(table) + len(table.old) <= 8
+    made = table.made
+    assert table[11] == 121 and table[7] == 49 and table.made == made and table[200] == 40_000 and 200 not in table
+    gone = []
+    monkeypatch.setattr(batches, "_holder", [])
+    for name in ("a", "a", "b", "a"):
+        batches.claim(name, lambda name=name: gone.append(name))
+    assert gone == ["a", "b"]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text("aehnort sx", min_size=1, max_size=40), st.integers(1, 9))
+def test_settled_tokens_never_change(codecs, text, size):
+    machine = codecs[0][0].machine
+    state, ends = machine.start, []
+    for byte in text.encode():
+        state, token = state[byte]
+        ends.append(token)
+    whole = machine.back(ends, len(ends))
+    state, ends = machine.start, []
+    for k, byte in enumerate(text.encode()):
+        state, token = state[byte]
+        ends.append(token)
+        if k % size == 0:
+            done = machine.back(ends, machine.settled(ends, state.live))
+            assert whole[: len(done)] == done
