@@ -17,7 +17,9 @@ import hashlib
 import struct
 from array import array
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
+import numpy as np
 import pandas as pd
 import regex
 from pyspark.sql import DataFrame
@@ -26,9 +28,17 @@ from pyspark.sql import functions as F
 from loomdoc.llm import batches
 from loomdoc.llm.store import packed, unpacked
 
-#: Bytes that a worker's transitions, and its table of known stretches of text, may take, by estimate. Beyond them they are made
-#: anew, which changes no result.
-MACHINE_BYTES, STRETCH_BYTES = 80 << 20, 32 << 20
+#: Bytes that a worker's tables may take: transitions of the machine for long pieces and of the one for short pieces, and known
+#: stretches of text. Beyond them they are made anew, which changes no result.
+MACHINE_BYTES, LANE_BYTES, STRETCH_BYTES = 16 << 20, 24 << 20, 32 << 20
+#: Fixed value: the pre-tokenizer's pattern under which a blank after no white space starts a piece, letters are one piece, and a letter
+#: and a sign after it are two. Texts under another pattern are cut by the pattern alone.
+PLAIN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+SIGNS = ".,;:!?"
+#: Letters below this one are letters in every version of the standard.
+LATIN = "\u0250"
+#: Bytes of a long piece, and characters of texts that are encoded together.
+LONG, TOGETHER = 96, 1 << 20
 #: Estimated bytes of a state, a transition, a remembered pair and a remembered live prefix.
 STATE, MOVE, PAIR, MEMBER = 460, 90, 70, 100
 #: Nodes with at most this many entries below are known by the entries that can stand.
@@ -252,22 +262,206 @@ class Transducer:
         return out + self.back(ends, len(ends)) if out else self.back(ends, len(ends))
 
 
-class _Stretches(batches.Bounded):
-    """Little-endian ids of a stretch of text that starts at a piece boundary; filled by the transducer on first use."""
+def _find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of ``wanted`` in sorted, non-empty ``keys``, and whether they are there."""
+    at = np.searchsorted(keys, wanted)
+    at[at == len(keys)] = 0
+    return at, keys[at] == wanted
 
-    def __init__(self, encoder: Encoder, lead: str, size: int):
-        super().__init__(size)
-        self.encoder, self.lead = encoder, lead
 
-    def make(self, text: str) -> bytes:
-        if text.isascii() and text.isalpha():  # one piece
-            ids = self.encoder.machine.encode((self.lead + text).encode())
-        else:
-            ids = self.encoder.pieces(self.lead + text)
-        return struct.pack(f"<{len(ids)}I", *ids)
+class Lanes:
+    """The same machine for many short pieces at once, a byte of each at a time, its tables held in flat sorted arrays.
 
-    def cost(self, text: str, made: bytes) -> int | None:
-        return 190 + 2 * len(text) + len(made) if len(text) <= STRETCH else None
+    States are the live prefixes as they are (node, last token). What a step lacks is made for all lanes together.
+    """
+
+    def __init__(self, machine: Transducer, size: int = LANE_BYTES):
+        flat = lambda x: np.frombuffer(x, np.int32).astype(np.int64)
+        merges = machine.merges
+        self.left, self.right, self.reached = flat(merges.left), flat(merges.right), np.frombuffer(bytes(merges.reached), np.uint8) > 0
+        self.joins = np.array(sorted(merges.joins), np.int64)
+        self.joined = np.array([merges.joins[k] for k in self.joins.tolist()], np.int64)
+        self.edges = np.array(sorted(machine.child), np.int64)
+        self.child = np.array([machine.child[k] for k in self.edges.tolist()], np.int64)
+        self.entry, self.length = flat(machine.entry), flat(machine.length)
+        self.goes_on = flat(machine.low) < flat(machine.high)
+        self.most = size
+        self.restart()
+
+    def restart(self) -> None:
+        self.keys, self.next, self.ends = np.array([-1]), np.zeros(1, np.int64), np.zeros(1, np.int32)  # by state and byte
+        self.at, self.live = np.array([0, 1]), np.zeros(1, np.int64)  # state 0: the root, after no token
+        self.names, self.named = np.zeros(1, np.uint64), np.zeros(1, np.int64)  # states by a hash of their prefixes
+        self.names[0] = self.hashed(self.live, np.zeros(1, np.int64), 1)[0]
+
+    def size(self) -> int:
+        return sum(x.nbytes for x in (self.keys, self.next, self.ends, self.at, self.live, self.names, self.named))
+
+    def survive(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """``Merges.survive`` for each pair; -1 on the left is the start of a piece."""
+        out = self.reached[b].copy()
+        lane = np.flatnonzero(out & (a >= 0))
+        a, b, due = a[lane], b[lane], np.full(len(lane), 1 << 40)
+        while len(lane):
+            at, known = _find(self.joins, a << 32 | b) if len(self.joins) else (np.zeros(len(a), np.int64), np.zeros(len(a), bool))
+            early = known & (np.where(known, self.joined[at] if len(self.joins) else 0, 0) < due)
+            out[lane[early]] = False
+            inner, outer = self.right[a], self.left[b]
+            leftward = ~early & (inner != a) & ((a > b) | (outer == b))
+            rightward = ~early & ~leftward & (outer != b)
+            due = np.where(leftward, a, b + 1)
+            a, b = np.where(leftward, inner, a), np.where(rightward, outer, b)
+            on = leftward | rightward
+            lane, a, b, due = lane[on], a[on], b[on], due[on]
+        return out
+
+    @staticmethod
+    def hashed(members: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray:
+        """A hash of each row's members in order; ``row`` ascends."""
+        place = np.arange(len(row)) - np.searchsorted(row, row)
+        x = members.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + place.astype(np.uint64) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
+        x ^= x >> np.uint64(29)
+        out = np.zeros(rows, np.uint64)
+        np.add.at(out, row, x)
+        return out
+
+    def members(self, states: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The live prefixes of each state, and which of the states each is of."""
+        counts = self.at[states + 1] - self.at[states]
+        row = np.repeat(np.arange(len(states)), counts)
+        return self.live[np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts) + self.at[states][row]], row
+
+    def learn(self, keys: np.ndarray) -> None:
+        """Make the transitions ``keys`` (state and byte, distinct)."""
+        live, row = self.members(keys >> 8)
+        at, found = _find(self.edges, live >> 32 << 8 | (keys & 255)[row])
+        child, last, row = self.child[at[found]], (live[found] & _LOW) - 1, row[found]
+        token = self.entry[child]
+        maybe = np.flatnonzero(token >= 0)
+        maybe = maybe[self.survive(last[maybe], token[maybe])]
+        ended = np.full(len(keys), -1, np.int64)
+        ended[row[maybe]] = token[maybe]
+        if (ended < 0).any():
+            raise ValueError(f"the vocabulary lacks byte {int(keys[ended < 0][0]) & 255}")
+        more = self.goes_on[child]
+        members = np.concatenate([child[more] << 32 | last[more] + 1, ended + 1])
+        row = np.concatenate([row[more], np.arange(len(keys))])
+        order = np.argsort(row, kind="stable")
+        members, row = members[order], row[order]
+        names = self.hashed(members, row, len(keys))
+        counts = np.bincount(row, minlength=len(keys))
+        starts = np.cumsum(counts) - counts
+        # states that are there already; a hash alone does not make two the same
+        at, same = _find(self.names, names)
+        target = np.where(same, self.named[at], -1)
+        same &= counts == self.at[target + 1] - self.at[target]
+        rows = np.flatnonzero(same)
+        held, of = self.members(target[rows])
+        new = members[np.arange(len(of)) - np.searchsorted(of, of) + starts[rows][of]]
+        same[rows[of[held != new]]] = False
+        # of the rest, those alike become one state
+        fresh = np.flatnonzero(~same)
+        if len(fresh):
+            _, first, which = np.unique(names[fresh], return_index=True, return_inverse=True)
+            lead = fresh[first][which]
+            pairs = np.flatnonzero(counts[lead] == counts[fresh])
+            twin = np.zeros(len(fresh), bool)
+            twin[pairs] = True
+            span = np.repeat(pairs, counts[fresh[pairs]])
+            step = np.arange(len(span)) - np.searchsorted(span, span)
+            twin[span[members[starts[fresh[span]] + step] != members[starts[lead[span]] + step]]] = False
+            own = np.flatnonzero(~twin | (lead == fresh))
+            number = np.full(len(keys), -1, np.int64)
+            number[fresh[own]] = len(self.at) - 1 + np.arange(len(own))
+            target[fresh] = np.where(twin, number[lead], number[fresh])
+            take = fresh[own]
+            span = np.repeat(np.arange(len(take)), counts[take])
+            self.live = np.concatenate([self.live, members[np.arange(len(span)) - np.searchsorted(span, span) + starts[take][span]]])
+            self.at = np.concatenate([self.at, self.at[-1] + np.cumsum(counts[take])])
+            self.names, self.named = self.merged((self.names, self.named), (names[take], number[take]))
+        self.keys, self.next, self.ends = self.merged((self.keys, self.next, self.ends), (keys, target, ended.astype(np.int32)))
+
+    @staticmethod
+    def merged(held: tuple[np.ndarray, ...], more: tuple[np.ndarray, ...]) -> list[np.ndarray]:
+        """Tables sorted by their first column with more rows."""
+        order = np.argsort(more[0])
+        at = np.searchsorted(held[0], more[0][order])
+        return [np.insert(x, at, y[order]) for x, y in zip(held, more, strict=True)]
+
+    def encode(self, pieces: list[bytes]) -> list[bytes]:
+        """Little-endian ids of each piece."""
+        if self.size() > self.most:
+            self.restart()
+        lengths = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        order = np.argsort(-lengths, kind="stable")
+        data = np.frombuffer(b"".join([pieces[k] for k in order.tolist()]), np.uint8)
+        lengths = lengths[order]
+        start = np.cumsum(lengths) - lengths
+        ends, state = np.zeros(len(data), np.int32), np.zeros(len(pieces), np.int64)
+        for k in range(int(lengths[0]) if len(lengths) else 0):
+            n = int(np.searchsorted(-lengths, -k, "left"))  # lanes that are longer
+            keys = state[:n] << 8 | data[start[:n] + k]
+            at, known = _find(self.keys, keys)
+            if not known.all():
+                self.learn(np.unique(keys[~known]))
+                at, _ = _find(self.keys, keys)
+            state[:n], ends[start[:n] + k] = self.next[at], self.ends[at]
+        # the way back from each end
+        lane, place, taken = np.arange(len(pieces)), start + lengths, []
+        counts = np.zeros(len(pieces), np.int64)
+        while len(lane):
+            token = ends[place - 1]
+            taken.append((lane, token))
+            counts[lane] += 1
+            place = place - self.length[token]
+            on = place > start[lane]
+            lane, place = lane[on], place[on]
+        stop = np.cumsum(counts)
+        ids = np.zeros(int(counts.sum()), "<u4")
+        for k, (lane, token) in enumerate(taken):
+            ids[stop[lane] - 1 - k] = token
+        raw, out = ids.tobytes(), [b""] * len(pieces)
+        for k, a, b in zip(order.tolist(), (4 * (stop - counts)).tolist(), (4 * stop).tolist(), strict=True):
+            out[k] = raw[a:b]
+        return out
+
+
+class Stretches:
+    """Ids of stretches of text that start at a piece boundary after ``lead``, in two generations of bounded size."""
+
+    def __init__(self, encoder: Encoder, lead: str, size: int):
+        self.encoder, self.lead, self.half = encoder, lead, size // 2
+        self.known: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.size = 0
+        self.long: list[str] = []
+
+    def need(self, stretches: set[str]) -> None:
+        """Have ``known`` hold all of ``stretches``."""
+        if self.size > self.half:
+            self.old, self.known, self.size = self.known, {}, 0
+        missing = stretches.difference(self.known)
+        again = missing.intersection(self.old)
+        for text in again:
+            self.known[text] = self.old[text]
+        missing -= again
+        known = self.known
+        # a letter and a sign after it are never one piece: "word," is "word" and ","
+        signed = [t for t in missing if t[-1:] in SIGNS and t[-2:-1].isalpha()] if self.encoder.plain else []
+        missing.difference_update(signed)
+        heads = {t[:-1] for t in signed}.difference(known)
+        missing |= heads
+        new = list(missing)
+        known.update(zip(new, self.encoder.made(self.lead, new), strict=True))
+        for text in signed:
+            known[text] = known[text[:-1]] + self.encoder.signs[text[-1]]
+        self.long = [t for t in new if len(t) > STRETCH] + [t for t in signed if len(t) > STRETCH]
+        self.size += 215 * (len(again) + len(new) + len(signed))
+
+    def drop_long(self) -> None:
+        for text in self.long:
+            del self.known[text]
 
 
 class Encoder:
@@ -276,23 +470,81 @@ class Encoder:
     #: a blank after white space does not start a piece for certain
     UNSURE = regex.compile(r"^\s|\s ")
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, machine_bytes: int = MACHINE_BYTES, stretch_bytes: int = STRETCH_BYTES):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, machine_bytes: int = MACHINE_BYTES, lane_bytes: int = LANE_BYTES, stretch_bytes: int = STRETCH_BYTES):
         self.machine, self.pattern = Transducer(ranks, machine_bytes), regex.compile(pattern)
-        self.first, self.spaced, self.alone = (_Stretches(self, lead, size) for lead, size in (("", stretch_bytes // 8), (" ", stretch_bytes // 4 * 3), ("", stretch_bytes // 8)))
-
-    def pieces(self, text: str) -> list[int]:
-        out: list[int] = []
-        for piece in self.pattern.findall(text):
-            out += self.machine.encode(piece.encode())
+        self.lanes = Lanes(self.machine, lane_bytes)
+        self.plain = pattern == PLAIN
+        self.signs = {x: struct.pack("<I", ranks[x.encode()]) for x in SIGNS} if self.plain else {}
+        self.bare, self.spaced = Stretches(self, "", stretch_bytes // 4), Stretches(self, " ", stretch_bytes // 4 * 3)
+
+    def made(self, lead: str, stretches: list[str]) -> list[bytes]:
+        """Ids of each stretch: short pieces side by side, long ones alone."""
+        pieces, many = [], []  # all pieces, and the stretches of more or fewer than one
+        for k, text in enumerate(stretches):
+            if self.plain and text.isalpha() and (text.isascii() or max(text) < LATIN):
+                pieces.append((lead + text).encode())
+            else:
+                found = self.pattern.findall(lead + text)
+                if len(found) != 1:
+                    many.append((k, len(pieces), len(found)))
+                pieces += [x.encode() for x in found]
+        whole = self.machine.ranks.get
+        out: list[bytes] = [b""] * len(pieces)
+        short = []
+        for k, piece in enumerate(pieces):
+            rank = whole(piece)
+            if rank is not None:
+                out[k] = struct.pack("<I", rank)
+            elif len(piece) <= LONG:
+                short.append(k)
+            else:
+                ids = self.machine.encode(piece)
+                out[k] = struct.pack(f"<{len(ids)}I", *ids)
+        for k, ids in zip(short, self.lanes.encode([pieces[k] for k in short]), strict=True):
+            out[k] = ids
+        if not many:
+            return out
+        joined, at = [], 0
+        for k, first, count in many:
+            joined += out[at:first]
+            joined.append(b"".join(out[first : first + count]))
+            at = first + count
+        return joined + out[at:]
+
+    def encode_all(self, texts: list[str | None]) -> list[bytes]:
+        """Little-endian ids of each text; null texts have none."""
+        split = []
+        for text in texts:
+            if not text:
+                split.append(([], []))
+            elif not self.plain or self.UNSURE.search(text):
+                split.append((self.pattern.findall(text), []))
+            else:
+                head, *rest = text.split(" ")
+                split.append(([head], rest))
+        bare, spaced = set(chain.from_iterable([x for x, _ in split])), set(chain.from_iterable([x for _, x in split]))
+        self.bare.need(bare)
+        self.spaced.need(spaced)
+        out = [b"".join([*map(self.bare.known.__getitem__, heads), *map(self.spaced.known.__getitem__, rest)]) for heads, rest in split]
+        self.bare.drop_long()
+        self.spaced.drop_long()
         return out
 
     def encode(self, text: str | None) -> bytes:
-        if not text:
-            return b""
-        if self.UNSURE.search(text):
-            return b"".join(map(self.alone.__getitem__, self.pattern.findall(text)))
-        head, *rest = text.split(" ")
-        return self.first[head] + b"".join(map(self.spaced.__getitem__, rest))
+        return self.encode_all([text])[0]
+
+
+def grouped(texts: Iterable[str | None], size: int) -> Iterator[list[str | None]]:
+    """Runs of texts that end where their length reaches ``size``."""
+    held, length = [], 0
+    for text in texts:
+        held.append(text)
+        length += len(text or "")
+        if length >= size:
+            yield held
+            held, length = [], 0
+    if held:
+        yield held
 
 
 #: The well-formed byte sequences of UTF-8 as (first byte from, to, bytes to follow, second byte from, to).
@@ -387,13 +639,13 @@ def encode_decode(docs: DataFrame, path: str, pattern: str, column: str = "text"
     vocabulary file at ``path`` must be readable on the executors. No shuffle. Columns named ``ids`` or ``decoded``
     in the input are replaced.
     """
-    batches.bound(docs.sparkSession)
+    batches.bound(docs.sparkSession, size=2 << 20)  # a batch is held as text, ids and decoded text
 
     @F.pandas_udf("ids binary, decoded string")
     def both(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         encoder, decoder = codec(path, pattern)
         for texts in parts:
-            ids = [encoder.encode(t) for t in texts]
+            ids = [x for some in grouped(texts, TOGETHER) for x in encoder.encode_all(some)]
             yield pd.DataFrame({"ids": ids, "decoded": [decoder.text(list(struct.unpack(f"<{len(x) // 4}I", x))) for x in ids]})
 
     rows = packed(docs, _text=column).withColumn("_both", both("_text")).select("_row", "_both.ids", "_both.decoded")
