@@ -196,9 +196,15 @@ def _capped(mixed: DataFrame, sets: DataFrame) -> DataFrame:
     return caps.withColumn("cap", F.greatest("cap_l", "cap_s"))
 
 
-def _hopeful(members: DataFrame, sets: DataFrame) -> DataFrame:
-    """Rows whose bucket holds another component with a document small enough for the row's cap, and one whose cap the row meets."""
-    capped = _capped(_mixed(members), sets)
+def _hopeful(members: DataFrame, sets: DataFrame) -> tuple[DataFrame, str] | None:
+    """A table of the rows whose bucket holds another component with a document small enough for the row's cap, and one whose cap the row
+    meets; none if no bucket holds two components. Steps that are read more than once are tables, which keeps the plans small."""
+    spark = members.sparkSession
+    mixed, at_mixed = materialise(_mixed(members), "mixed")
+    if mixed.isEmpty():
+        discard(spark, at_mixed)
+        return None
+    capped, at_capped = materialise(_capped(mixed, sets), "capped")
     per = capped.groupBy("key", "comp").agg(F.min("n").alias("lo"), F.max("cap").alias("hi"))
     one = per.groupBy("key").agg(F.min(F.struct("lo", "comp")).alias("a"), F.max(F.struct("hi", "comp")).alias("b"))
     two = (
@@ -209,7 +215,10 @@ def _hopeful(members: DataFrame, sets: DataFrame) -> DataFrame:
     least = F.when(F.col("comp") == F.col("a.comp"), F.col("lo2")).otherwise(F.col("a.lo"))
     most = F.when(F.col("comp") == F.col("b.comp"), F.col("hi2")).otherwise(F.col("b.hi"))
     fits = (F.col("cap") >= least) & (4 * F.col("cap") >= 3 * F.col("n")) & (most >= F.col("n"))
-    return _mixed(capped.join(two, "key").filter(fits).select(*capped.columns))
+    fitting, at_fitting = materialise(capped.join(two, "key").filter(fits).select(*capped.columns), "fitting")
+    live = materialise(_mixed(fitting), "live")
+    discard(spark, at_mixed, at_capped, at_fitting)
+    return live
 
 
 def linked(docs: DataFrame, column: str = "text") -> DataFrame:
@@ -247,7 +256,7 @@ def _judged(docs: DataFrame, column: str) -> DataFrame:
     # a doc_id with several texts has a set for each, and a link of any of them counts
     sets, at_sets = materialise(made_sets, "sets")
     live = members.join(scores, "rep").select("key", "rep", "n", "score", F.col("rep").alias("comp"), F.lit(1 << 30).alias("cap"))
-    links, paths = None, []
+    links, paths, fresh = None, [], True
     for turn in range(HUB_ROUNDS + 1):
         if turn == 0:
             pairs = _against_hubs(live, F.col("score"))
@@ -270,7 +279,10 @@ def _judged(docs: DataFrame, column: str) -> DataFrame:
         if turn and last:
             break
         live = members.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", "n", F.coalesce("comp", "rep").alias("comp"))
-        live, path = materialise(_hopeful(live, sets), "live")
+        found = _hopeful(live, sets)
+        if found is None:
+            break
+        live, path = found
         paths.append(path)
     named = classes.join(comps, F.col("rep") == F.col("node"), "left").select("f1", "f2", F.coalesce("comp", "rep").alias("comp"))
     out = sketches.select("doc_id", "n", "f1", "f2").join(named, ["f1", "f2"], "left")
