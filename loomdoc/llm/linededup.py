@@ -40,7 +40,8 @@ def repeated_lines(docs: DataFrame, column: str = "text") -> DataFrame:
     table gives no rows.
 
     Shuffles: window hashes twice (counted with partial sums, then joined with the repeated ones, where adaptive
-    execution splits a passage that very many documents hold), and the texts once with their marked positions.
+    execution splits a passage that very many documents hold), and the texts once with their marked positions. Time and memory grow with a
+    text's length, not its square.
     """
     own = docs.select(F.col("doc_id").alias("_d"), F.xxhash64(column).alias("_t"), F.split(column, "\n").alias("_l"))
     marks = own.select("_d", "_t", F.explode(_windows(F.col("_l"))).alias("_w")).select(
@@ -51,12 +52,15 @@ def repeated_lines(docs: DataFrame, column: str = "text") -> DataFrame:
     covered = later.groupBy(F.col("at._d").alias("_d"), F.col("at._t").alias("_t")).agg(F.array_sort(F.collect_set("at.pos")).alias("_p"))
     rows = packed(docs, _id="doc_id", _text=column, _h=F.xxhash64(column))
     joined = rows.join(covered, F.col("_id").eqNullSafe(F.col("_d")) & (F.col("_h") == F.col("_t")), "left")
-    lines = F.split("_text", "\n")
-    marked = F.array_distinct(F.flatten(F.transform("_p", lambda p: F.array(*[p + k for k in range(WINDOW)]))))
-    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), marked)
-    kept = F.transform(left, lambda i: F.get(lines, i))
-    flagged = joined.withColumn("_k", F.when(F.col("_p").isNotNull(), kept))
-    out = flagged.withColumn("removed", F.coalesce(F.size(lines) - F.size("_k"), F.lit(0)).cast("long")).withColumn(
-        "deduped", F.when(F.col("_p").isNull(), F.col("_text")).otherwise(F.array_join("_k", "\n"))
+    # what lies between the marks, in runs of lines; the split text is read more than once, so it stays a column of its own
+    split = joined.withColumn("_l", F.when(F.col("_p").isNotNull(), F.split("_text", "\n")))
+    begins = F.concat(F.array(F.lit(0)), F.transform("_p", lambda p: p + WINDOW))
+    stops = F.concat(F.col("_p"), F.array(F.size("_l")))
+    runs = F.filter(F.zip_with(begins, stops, lambda a, b: F.struct(a.alias("a"), (b - a).alias("n"))), lambda r: r["n"] > 0)
+    flagged = split.select("_row", "_text", "_p", "_l", runs.alias("_r"))
+    held = F.aggregate("_r", F.lit(0), lambda n, r: n + r["n"])
+    text = F.array_join(F.transform("_r", lambda r: F.array_join(F.slice("_l", r["a"] + 1, r["n"]), "\n")), "\n")
+    out = flagged.withColumn("removed", F.coalesce(F.size("_l") - held, F.lit(0)).cast("long")).withColumn(
+        "deduped", F.when(F.col("_p").isNull(), F.col("_text")).otherwise(text)
     )
     return unpacked(out, docs.columns, ["removed", "deduped"])
