@@ -15,8 +15,10 @@ from pyspark.sql import functions as F
 from loomdoc.llm.store import materialise, packed, unpacked
 
 LEVELS = ("_domain", "_lang", "_source")
-#: The order key has 60 bits; its first 12 name a stretch of the permutation.
-STRETCH = 1 << 48
+#: The order key has 60 bits; its first 12 name a stretch of the permutation, and the first 6 of these a run of stretches.
+STRETCH, RUN = 1 << 48, 1 << 6
+#: Whole numbers whose products do not fit 64 bits.
+WIDE = "decimal(19,0)"
 
 
 def estimated_tokens(text: Column) -> Column:
@@ -37,15 +39,16 @@ def _share(nodes: DataFrame, parent: list[str], own: list[str]) -> DataFrame:
     """``nodes`` (own, weight, cap) of parents with ``budget``: each gets ``given``, short ones all they can use."""
     among = W.partitionBy(*parent) if parent else W.partitionBy(F.lit(0))
     # smallest cap for its weight first; exact ties cannot change who is short
-    order = among.orderBy(F.col("cap") / F.col("weight"), *own)
-    before = F.coalesce(F.sum("cap").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    onward = F.sum("weight").over(order.rowsBetween(W.currentRow, W.unboundedFollowing))
-    short = F.col("cap") * onward <= F.col("weight") * (F.col("budget") - before)
+    order = among.orderBy(F.expr("cap div weight"), F.expr("cap % weight / weight"), *own)
+    earlier = order.rowsBetween(W.unboundedPreceding, -1)
+    before = F.coalesce(F.sum("cap").over(earlier), F.lit(0))
+    onward = F.sum("weight").over(among) - F.coalesce(F.sum("weight").over(earlier), F.lit(0))
+    short = F.col("cap").cast(WIDE) * onward.cast(WIDE) <= F.col("weight").cast(WIDE) * (F.col("budget") - before).cast(WIDE)
     marked = nodes.withColumn("short", short)
     used = F.coalesce(F.sum(F.when(F.col("short"), F.col("cap"))).over(among), F.lit(0))
     rest = F.sum(F.when(~F.col("short"), F.col("weight"))).over(among)
     shared = marked.withColumn("used", used).withColumn("rest", rest)
-    return shared.withColumn("given", F.when(F.col("short"), F.col("cap")).otherwise(F.expr("weight * (budget - used) div rest"))).drop("short", "used", "rest")
+    return shared.withColumn("given", F.when(F.col("short"), F.col("cap")).otherwise(F.expr(f"CAST(weight AS {WIDE}) * CAST(budget - used AS {WIDE}) div rest"))).drop("short", "used", "rest")
 
 
 def budgets(leaves: DataFrame, weights: dict[tuple[str, ...], int], total: Column, max_epochs: int) -> DataFrame:
@@ -67,6 +70,13 @@ def _key(seed: int, epoch: Column, name: Column) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), epoch, name).cast("binary")), 1, 15), 16, 10).cast("long")
 
 
+def _end(sums: DataFrame, at: str, before: Column) -> DataFrame:
+    """For each leaf the first place ``at`` at which the running sum of ``t``, ``before`` included, exceeds ``_rest``, and the sum up to there."""
+    along = W.partitionBy(*LEVELS).orderBy(at).rowsBetween(W.unboundedPreceding, W.currentRow)
+    over = sums.withColumn("_after", before + F.sum("t").over(along)).filter("_after > _rest")
+    return over.groupBy(*LEVELS).agg(F.min(at).alias("_end"), F.min_by(F.col("_after") - F.col("t"), at).alias("_before"))
+
+
 def mix(
     docs: DataFrame,
     weights: dict[tuple[str, ...], int],
@@ -84,8 +94,10 @@ def mix(
     rows with one order key are taken together. Texts without tokens ride along with their neighbours. Input columns named ``epoch`` or ``tokens`` are
     replaced; an empty table gives no rows.
 
-    Documents are never sorted or shuffled whole: a leaf's tokens are summed by 4,096 stretches of its permutation, and only
-    the stretch in which the budget ends is looked at row by row. Tables of leaves are joined by their size.
+    Documents are never sorted or shuffled whole: a leaf's tokens are summed by 4,096 stretches of its permutation in 64 runs, and only
+    the run and then the stretch in which the budget ends are looked at row by row, so a leaf with a third of all rows costs one task
+    64 sums at a time. Tables of leaves are joined by their size; siblings of one node are shared out in one task, in time that grows
+    with their number.
     """
     own = tokens if tokens is not None else estimated_tokens(F.col("text"))
     blank = lambda c: F.coalesce(c.cast("string"), F.lit(""))
@@ -102,14 +114,11 @@ def mix(
     )
     keyed = rows.join(split, list(LEVELS)).withColumn("_k", _key(seed, F.col("_full"), F.col("_name"))).withColumn("_s", F.floor(F.col("_k") / STRETCH).cast("int"))
     sums = keyed.groupBy(*LEVELS, "_rest", "_s").agg(F.sum("tokens").alias("t"))
-    along = W.partitionBy(*LEVELS).orderBy("_s").rowsBetween(W.unboundedPreceding, W.currentRow)
-    ends, _ = materialise(
-        sums.withColumn("_after", F.sum("t").over(along))
-        .filter("_after > _rest")
-        .groupBy(*LEVELS)
-        .agg(F.min("_s").alias("_end"), F.min_by(F.col("_after") - F.col("t"), "_s").alias("_before")),
-        "ends",
-    )
+    sums, _ = materialise(sums, "stretches")
+    run = F.expr(f"_s div {RUN}").cast("int")
+    runs = _end(sums.groupBy(*LEVELS, "_rest", run.alias("_run")).agg(F.sum("t").alias("t")), "_run", F.lit(0))
+    held = sums.withColumn("_run", run).join(runs.select(*LEVELS, F.col("_end").alias("_run"), "_before"), [*LEVELS, "_run"])
+    ends, _ = materialise(_end(held, "_s", F.col("_before")), "ends")
     last = keyed.join(ends, list(LEVELS)).filter("_s = _end").groupBy(*LEVELS, "_rest", "_before", "_k", "_name").agg(F.sum("tokens").alias("t"))
     within = W.partitionBy(*LEVELS).orderBy("_k", "_name").rowsBetween(W.unboundedPreceding, W.currentRow)
     cuts = last.withColumn("_sum", F.col("_before") + F.sum("t").over(within)).filter("_sum <= _rest").groupBy(*LEVELS).agg(F.max(F.struct("_k", "_name")).alias("_cut"))
