@@ -79,8 +79,10 @@ def permuted(index: Column, size: Column, salt: Column, seed: int, largest: int)
         )
         return end.cast("long")
 
+    # a step ends outside with odds under 1/sqrt(size): 40 are enough in practice, and a walk that were longer is an error, not a wrong place
     walk = max(1, min(40, math.isqrt(max(0, largest)) + 1))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(walk)), once(index), lambda x, _: F.when(x < size, x).otherwise(once(x)))
+    place = F.aggregate(F.sequence(F.lit(1), F.lit(walk)), once(index), lambda x, _: F.when(x < size, x).otherwise(once(x)), lambda x: F.struct(x.alias("x"), size.alias("n")))
+    return F.transform(F.array(place), lambda p: F.when(p["x"] < p["n"], p["x"]).otherwise(F.raise_error(F.lit("a walk of the permutation did not end inside")).cast("long")))[0]
 
 
 def shuffle_into_shards(
@@ -88,14 +90,17 @@ def shuffle_into_shards(
 ) -> DataFrame:
     """Every row of ``docs`` with ``shard`` (int) and ``slot`` (long, gapless from 0 in its shard), in shard and slot order within partitions.
 
-    Buckets come from a hash of ``key``, so a retried task finds the same rows. Nulls hash like other values; rows equal
-    in ``key`` share a bucket and are interchangeable. A table with fewer rows than shards leaves some shards
+    Buckets come from a hash of ``key``, so a retried task finds the same rows; in a bucket, rows lie in the order of that hash and then of
+    a hash of all their columns, so that only rows equal in all of them are interchangeable. Nulls hash like other values; rows equal
+    in ``key`` share a bucket. A table with fewer rows than shards leaves some shards
     empty; an empty table gives no rows. Columns named ``shard`` or ``slot`` in the input are replaced.
     """
     spark = docs.sparkSession
     total = docs.count()
     buckets = max(min_buckets, -(-total // rows_per_bucket))
-    rows = packed(docs, _h=F.xxhash64(*[F.col(c) for c in key], F.lit(seed)))
+    # maps have no hash of their own; their entries have
+    whole = [F.to_json(F.array(f"`{f.name}`")) if "map<" in f.dataType.simpleString() else F.col(f"`{f.name}`") for f in docs.schema.fields]
+    rows = packed(docs, _h=F.xxhash64(*[F.col(c) for c in key], F.lit(seed)), _all=F.xxhash64(*whole))
     bucket = F.pmod("_h", F.lit(buckets)).cast("int")
     counts = {r[0]: r[1] for r in rows.groupBy(bucket.alias("b")).count().collect()}  # one row a bucket
     present = sorted(counts)
@@ -110,7 +115,7 @@ def shuffle_into_shards(
         F.inline(F.from_json(F.lit(json.dumps([{"_b": b, "_cuts": c, "_base": o} for b, c, o in plan])), "array<struct<_b:int,_cuts:array<bigint>,_base:array<bigint>>>"))
     )
     table = F.broadcast(table) if len(plan) * shards * 16 <= BROADCAST_BYTES else table
-    local = W.partitionBy("_b").orderBy(F.xxhash64(F.col("_h"), F.lit(seed + 1)), F.col("_h"))
+    local = W.partitionBy("_b").orderBy(F.xxhash64(F.col("_h"), F.lit(seed + 1)), F.col("_h"), F.col("_all"))
     ranked = rows.withColumn("_b", bucket).withColumn("_r", F.row_number().over(local).cast("long") - 1)
     sent = ranked.join(table, "_b").withColumn("shard", F.size(F.filter("_cuts", lambda c: c <= F.col("_r"))))
     sent = sent.withColumn("_i", F.element_at("_base", F.col("shard") + 1) + F.col("_r"))
