@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -9,9 +11,11 @@ from pyspark.sql import functions as F
 
 
 def shared_root(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; only where it is unset, ``loomdoc.shared.dir`` or a local folder."""
+    """``spark.checkpoint.dir`` of the session; only where it is unset, ``loomdoc.shared.dir``, or with a local master a local folder."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("loomdoc.shared.dir", None)
-    return (root or "file:///tmp/loomdoc-shared").rstrip("/")
+    if not root and not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return (root or f"file://{tempfile.gettempdir()}/loomdoc-shared").rstrip("/")
 
 
 def workspace(spark: SparkSession, name: str) -> str:
