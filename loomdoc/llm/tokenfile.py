@@ -18,6 +18,7 @@ Tasks write under names of their own attempt and the manifest lists only the att
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import struct
@@ -38,8 +39,8 @@ from loomdoc.llm import batches, store
 
 MAGIC = b"LDTOK1\0\0"
 BLOCK_IDS, LEVEL = 1 << 16, 3
-#: Cached words are dropped beyond this count, which bounds memory and changes no result.
-MAX_WORDS = 1_000_000
+#: Cached words are dropped beyond this many bytes, by estimate, which bounds memory and changes no result.
+WORD_BYTES = 128 << 20
 SIGNS = b".,;:!?"
 #: A capital before a character from U+0300 on, which may be a mark that composes with it.
 MARKED = re.compile(rb"[A-Z][\xcc-\xf4]")
@@ -152,44 +153,74 @@ class Reader:
             start += n
 
 
-def _words(text: bytes) -> list[bytes]:
-    """Words, in lower case (A-Z) where that changes no id.
-
-    The vocabulary composes (NFC) before it lower-cases, and some marks compose with a letter's lower case alone (J, H, T, W, Y). Marks
-    are at U+0300 and above and compose with a capital only in the word it stands in, so such words stay as they are.
-    """
-    if text.isascii() or not MARKED.search(text):
-        return text.lower().split()
-    return [w if MARKED.search(w) else w.lower() for w in text.split()]
+#: Settings of a tokenizer file under which a text's ids are those of its words. White space is dropped and never
+#: crossed, letters are composed and then lower-cased, and a letter and a sign after it are never one piece.
+WORDWISE = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+    "truncation": None,
+    "padding": None,
+}
 
 
 class Tokenizer:
-    """Ids of the tokenizers library for whole texts.
+    """Ids of the tokenizers library, as it comes, for whole texts.
 
-    The vocabulary's pre-tokenizer drops white space and never crosses it, so a text's ids are those of its words in
-    order. Each distinct word goes through the library once while it stays in the table.
+    Where the file's settings are ``WORDWISE`` and its added tokens hold no white space and are found in the text as it
+    stands, each distinct word goes through the library once while it stays in the table. Any other file gets whole texts.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer as Library
 
         self.library = Library.from_file(path)
-        self.library.encode_special_tokens = True
+        held = json.loads(self.library.to_str())
+        added = held["added_tokens"]
+        plain = all(not (t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"]) and len(t["content"].split()) == 1 for t in added)
+        self.wordwise = plain and all(held[k] == v for k, v in WORDWISE.items())
+        # added tokens are found anywhere, in the case they are written in; in another case they must not become one
+        self.added = re.compile(b"|".join(re.escape(t["content"].encode()) for t in added), re.IGNORECASE) if added else None
         self.words: dict[bytes, bytes] = {}
+        self.size = 0
+
+    def split(self, text: bytes) -> list[bytes]:
+        """Words, in lower case (A-Z) where that changes no id.
+
+        The vocabulary composes (NFC) before it lower-cases, and some marks compose with a letter's lower case alone (J, H, T, W, Y).
+        Marks are at U+0300 and above and compose with a capital only in the word it stands in, so such words stay as they
+        are, and so do words that hold an added token in any case.
+        """
+        odd = [] if text.isascii() or not MARKED.search(text) else [MARKED.search]
+        if self.added and self.added.search(text):
+            odd.append(self.added.search)
+        if not odd:
+            return text.lower().split()
+        return [w if any(found(w) for found in odd) else w.lower() for w in text.split()]
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
-        split = [_words(t) for t in texts]
+        if not self.wordwise:
+            got = self.library.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)
+            return [struct.pack(f"<{len(e.ids)}I", *e.ids) for e in got]
+        split = [self.split(t) for t in texts]
         known = self.words
-        if len(known) > MAX_WORDS:
+        if self.size > WORD_BYTES:
             known.clear()
+            self.size = 0
         new = set(chain.from_iterable(split)).difference(known)
         # a letter and a sign after it are never one piece: "word," is "word" and ","
-        signed = [w for w in new if w[-1] in SIGNS and w[-2:-1].isalpha()]
+        signed = [w for w in new if w[-1] in SIGNS and w[-2:-1].isalpha() and not (self.added and self.added.search(w))]
         new.difference_update(signed)
         new.update(x for w in signed for x in (w[:-1], w[-1:]) if x not in known)
         self.learn(list(new))
         for w in signed:
             known[w] = known[w[:-1]] + known[w[-1:]]
+            self.size += 170 + 5 * len(w)
         return [b"".join(map(known.__getitem__, words)) for words in split]
 
     def learn(self, words: list[bytes]) -> None:
@@ -198,6 +229,7 @@ class Tokenizer:
             for word, got in zip(part, self.library.encode_batch_fast([w.decode() for w in part], add_special_tokens=False), strict=True):
                 ids = got.ids
                 self.words[word] = struct.pack(f"<{len(ids)}I", *ids)
+                self.size += 170 + len(word) + 4 * len(ids)
 
 
 _MADE: dict[str, Tokenizer] = {}
@@ -205,6 +237,7 @@ _MADE: dict[str, Tokenizer] = {}
 
 def tokenizer(path: str) -> Tokenizer:
     """One tokenizer a worker process, single-threaded: Spark's tasks are the parallelism."""
+    batches.claim("tokenfile", _MADE.clear)
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     if path not in _MADE:
         _MADE[path] = Tokenizer(path)

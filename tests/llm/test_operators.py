@@ -81,6 +81,28 @@ def test_shards_are_uniform(spark):
     assert abs(low - 0.5) < 0.06
 
 
+def test_matrix_is_what_moves(spark):
+    """Rows sent from each bucket to each shard are those of the matrix drawn for the buckets' sizes, and digests are those of the texts."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    placed = sharding.shuffle_into_shards(docs, 16, min_buckets=8)
+    rows = placed.select(F.pmod(F.xxhash64("doc_id", "text", F.lit(7)), F.lit(8)).alias("b"), "shard").collect()
+    moved = collections.Counter((r["b"], r["shard"]) for r in rows)
+    parts = [sum(n for (b, _), n in moved.items() if b == k) for k in range(8)]
+    matrix = sharding.communication_matrix(parts, sharding.shard_sizes(sum(parts), 16), 7)
+    assert [[moved[b, s] for s in range(16)] for b in range(8)] == matrix
+    raw = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    for r in registry.QUERIES["op1_sharding"](spark, SF).collect():
+        text = raw[r["doc_id"]].encode()
+        assert (r["size"], r["text_crc32"], r["law"], r["grown_shard"]) == (len(text) + 1, zlib.crc32(text), "rows", None)
+
+
+def test_rows_that_differ_beyond_the_key_keep_their_places(spark):
+    """Whatever order a retried task finds them in."""
+    rows = [(1, "same", k) for k in range(200)]
+    at = lambda r: sorted(map(tuple, sharding.shuffle_into_shards(spark.createDataFrame(r, "doc_id long, text string, own long").repartition(3), 4).select("own", "shard", "slot").collect()))
+    assert at(rows) == at(rows[::-1])
+
+
 # ---- 2
 def shingle_set(text):
     words = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in (text or "")).translate(dict.fromkeys(range(9, 14), " ")).split(" ")
@@ -244,7 +266,6 @@ def test_token_files(spark, odd):
 
     path = public_tokenizers.path("word_bpe_49k.json")
     own = Tokenizer.from_file(path)
-    own.encode_special_tokens = True
     for bits in (False, True):
         manifest = tokenfile.write_tokens(clashing(odd, "ids", "start"), path, bits=bits, partitions=3)
         rows = tokenfile.read_tokens(manifest).orderBy("start").collect()
@@ -258,10 +279,34 @@ def test_token_files(spark, odd):
                 ids = [*own.encode(text[r["doc_id"]] or "", add_special_tokens=False).ids, 1]
                 assert bytes(r["ids"]) == b"".join(i.to_bytes(4, "little") for i in ids)
     assert tokenfile.read_tokens(tokenfile.write_tokens(odd.limit(0), path)).count() == 0
-    first = registry.QUERIES["op7_token_files"](spark, SF).orderBy("doc_id").first()
-    raw = spark.read.parquet(f"{SF}/documents.parquet").orderBy("doc_id").first()["text"]
-    ids = [*own.encode(raw, add_special_tokens=False).ids, 1]
-    assert (first["start"], first["n_tokens"], first["ids_crc32"]) == (0, len(ids), zlib.crc32(b"".join(i.to_bytes(4, "little") for i in ids)))
+
+
+def test_token_file_query_equals_the_library(spark, tmp_path):
+    """Every row: ids, count, and place among all ids. Texts hold the strings of added tokens as words, in words and in capitals."""
+    from tokenizers import Tokenizer
+
+    own = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    odd = ["a <|endoftext|> B", "x<|startoftext|>, <|ENDOFTEXT|>.", "<|endoftext|>", "<|endoftext|>\u030c J\u030c", None]
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    more = spark.createDataFrame([(-k, t) for k, t in enumerate(odd, 1)], "doc_id long, text string")
+    docs.unionByName(more, allowMissingColumns=True).write.parquet(f"{tmp_path}/documents.parquet")
+    rows = registry.QUERIES["op7_token_files"](spark, str(tmp_path)).orderBy("doc_id").collect()
+    at = 0
+    want = []
+    for r in spark.read.parquet(f"{tmp_path}/documents.parquet").orderBy("doc_id").collect():
+        ids = [*own.encode(r["text"] or "", add_special_tokens=False).ids, 1]
+        want.append((r["doc_id"], at, len(ids), zlib.crc32(b"".join(i.to_bytes(4, "little") for i in ids))))
+        at += len(ids)
+    assert [(r["doc_id"], r["start"], r["n_tokens"], r["ids_crc32"]) for r in rows] == want
+
+
+def test_other_tokenizer_files_get_whole_texts():
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    made = tokenfile.Tokenizer(path)
+    texts = ["Some words,  two blanks", "<|endoftext|> x", ""]
+    assert not made.wordwise and made.encode([t.encode() for t in texts]) == [b"".join(i.to_bytes(4, "little") for i in e.ids) for e in Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)]
 
 
 # ---- 8
@@ -304,6 +349,17 @@ def test_mixing_odd_rows(odd):
     assert half.groupBy().agg(F.sum("tokens")).first()[0] <= 12
 
 
+def test_many_siblings_and_large_amounts(spark):
+    """A million sources under one node, and products beyond 64 bits."""
+    leaves = spark.range(1_000_000).select(F.lit("d").alias("_domain"), F.lit("l").alias("_lang"), F.col("id").cast("string").alias("_source"), (F.lit(10**8) + F.col("id") % 7).alias("tokens"))
+    total = 10**14
+    got = mixing.budgets(leaves, {("d", "l", "5"): 10**6}, F.lit(total).cast("long"), 4)
+    row = got.agg(F.sum("budget").alias("s"), F.max("budget").alias("m"), F.min("budget").alias("lo"), F.count("*").alias("n")).first()
+    cap = 4 * (10**8 + 5)
+    rest = (total - cap) // (10**6 - 1)  # the heavy source can use no more than its tokens
+    assert row["m"] == cap and row["lo"] == rest and row["n"] == 10**6 and 0 <= total - row["s"] < 10**6
+
+
 # ---- 10
 def brute_lines(rows):
     seen, out = set(), {}
@@ -341,6 +397,25 @@ def test_lines_of_odd_rows(odd):
     assert linededup.repeated_lines(odd.limit(0)).count() == 0
 
 
+def test_long_texts_take_time_in_proportion(spark):
+    """Two texts that share every other stretch of lines, of 16,000 and of 200,000 lines."""
+    import time
+
+    def seconds(n):
+        one = "\n".join(f"line {k}" for k in range(n))
+        two = "\n".join(f"line {k}" if k % 8 < 5 else f"other {k}" for k in range(n))
+        df = spark.createDataFrame([(1, one), (2, two)], "doc_id long, text string")
+        start = time.perf_counter()
+        rows = {r["doc_id"]: r for r in linededup.repeated_lines(df).collect()}
+        assert rows[1]["removed"] == 0 and rows[2]["removed"] == n // 8 * 5
+        assert rows[2]["deduped"] == "\n".join(f"other {k}" for k in range(n) if k % 8 >= 5)
+        return time.perf_counter() - start
+
+    seconds(800)
+    small, large = seconds(16_000), seconds(200_000)
+    assert large < 12.5 * 2 * small + 5
+
+
 # ---- pipeline
 def test_pipeline_equals_brute_force(spark, docs):
     con = connection()
