@@ -119,10 +119,14 @@ def response_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def html_export(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document's lines as headings and paragraphs of an HTML page."""
-    line = lambda t, i: F.struct(F.when(i == 0, "heading").otherwise("paragraph").alias("type"), t.alias("ko"), F.lit(None).cast("struct<cells_ko:array<array<string>>>").alias("table"))
+    """Every document's lines as an HTML page: a heading, then paragraphs, lists of the words after a line's first and tables of a line's words."""
+    none = F.lit(None).cast("array<array<string>>")
+    kind = lambda i: F.when(i == 0, "heading").when(i % 5 == 1, "list").when(i % 5 == 2, "table").when(i % 5 == 3, "header_footer").otherwise("paragraph")
+    line = lambda t, i: F.struct(
+        kind(i).alias("type"), F.when(i % 5 == 1, F.replace(t, F.lit(" "), F.lit("\n"))).otherwise(t).alias("ko"), F.struct(F.when(i % 5 == 2, F.array(F.split(t, " "))).otherwise(none).alias("cells_ko")).alias("table")
+    )
     blocks = F.transform(F.split("text", "\n"), line)
-    return table(spark, sf_dir, "documents").select("doc_id", F.md5(export.page_html(F.col("doc_id").cast("int"), blocks).cast("binary")).alias("html_md5"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(export.page_html(F.col("doc_id"), blocks).cast("binary")).alias("html_md5"))
 
 
 def html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -201,9 +205,10 @@ LEFT JOIN part b ON a.p_brand = b.p_brand AND b.p_partkey > a.p_partkey AND b.p_
     "id_join": "SELECT conv_id, turn, md5(text) AS source_md5, CASE WHEN r = 'assistant' THEN md5(t) END AS ko_md5 FROM (SELECT *, lead(role) OVER w AS r, lead(text) OVER w AS t FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)) WHERE role = 'user'",
     "response_join": """WITH i AS (SELECT l_orderkey::INT AS page_no, l_linenumber, max(l_quantity) AS q FROM lineitem GROUP BY ALL)
 SELECT page_no, count(*) FILTER (WHERE q % 5 <> 0) AS answered, count(*) FILTER (WHERE q % 7 = 0 AND q % 5 <> 0) AS twice, (count(*) FILTER (WHERE q % 5 = 0))::INT AS n_missing, (count(*) FILTER (WHERE q = 1))::INT AS n_unknown FROM i GROUP BY page_no""",
-    "html_export": """WITH l AS (SELECT doc_id, list_transform(list_filter(list_transform(string_split(text, chr(10)), lambda x, i: {'i': i, 't': x}), lambda x: x.t <> ''),
-  lambda x: CASE WHEN x.i = 1 THEN '<h3>' ELSE '<p>' END || replace(replace(replace(replace(replace(x.t, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#x27;') || CASE WHEN x.i = 1 THEN '</h3>' ELSE '</p>' END) AS h FROM documents)
-SELECT doc_id, md5('<div class=''page''><div class=''source''><div class=''number''>p.' || CASE WHEN doc_id < 1000 THEN lpad(doc_id::VARCHAR, 3, '0') ELSE doc_id::VARCHAR END || '</div></div><div class=''target''>' || array_to_string(h, '') || '</div></div>') AS html_md5 FROM l""",
+    "html_export": """WITH l AS (SELECT doc_id, text IS NULL AS gone, list_transform(string_split(replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#x27;'), chr(10)),
+  lambda t, i: CASE WHEN i > 1 AND (i - 1) % 5 = 2 THEN '<table><tbody><tr><td>' || replace(t, ' ', '</td><td>') || '</td></tr></tbody></table>' WHEN t = '' OR (i > 1 AND (i - 1) % 5 = 3) THEN '' WHEN i = 1 THEN '<h2>' || t || '</h2>'
+    WHEN (i - 1) % 5 = 1 THEN '<ul><li>' || replace(t, ' ', '</li><li>') || '</li></ul>' ELSE '<p>' || t || '</p>' END) AS h FROM documents)
+SELECT doc_id, CASE WHEN NOT gone THEN md5('<section id="page-' || doc_id || '"><aside><small>' || doc_id || '</small></aside><article lang="ko">' || array_to_string(h, '') || '</article></section>') END AS html_md5 FROM l""",
     "html_blocks": "SELECT page_id, type, count(*) AS n, sum(length(t))::BIGINT AS chars FROM ("
     + " UNION ALL ".join(f"SELECT page_id, '{kind}' AS type, unnest(regexp_extract_all(html, '(?s)<{tag}(?: [^>]*)?>(.*?)</{tag}>', 1)) AS t FROM pages" for tag, kind in (("h1", "heading"), ("li", "list"), ("footer", "header_footer"), ("p", "paragraph")))
     + ") GROUP BY ALL",
