@@ -42,6 +42,7 @@ THUMBNAIL_SCALE = 0.25
 MAX_UPLOAD_MB = 100
 ETA_SECONDS = 15
 CONCURRENCY = 6
+#: Part of stored results' keys, whose form is fixed; it does not name the prompt in operators/translate.py.
 PROMPT_VERSION = "v6"
 MODEL_TEXT = "gpt-5.6-luna"
 MODEL_IMAGE = "gpt-5.6-terra"
@@ -79,11 +80,19 @@ NOTE_NO_TABLE = "table not translated"
 NOTE_NO_BLOCK = "block missing from LLM response"
 NOTE_SCANNED = "scanned page - whole-page markdown, block-level verify not applicable"
 
-# symbol fonts: private use code points are 0xF000 plus the glyph's code
-SYMBOL_LATIN = "abgdezhqiklmnxoprstufcywABGDEZHQIKLMNXOPRSTUFCYW"
-SYMBOL_GREEK = "αβγδεζηθικλμνξοπρστυφχψωΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩ"
-SYMBOL_OTHER = {
-    0x3D: "=", 0x2B: "+", 0xB7: "•", 0xD7: "×", 0x4A: "ϑ", 0x6A: "φ", 0x2D: "−", 0x2F: "/", 0xA3: "≤", 0xB3: "≥", 0xB9: "≠", 0xBB: "≈",
-    0xB1: "±", 0xA5: "∞", 0xD6: "√", 0xE5: "∑", 0xF2: "∫", 0xB6: "∂", 0xD1: "∇", 0xAE: "→", 0xB0: "°",
+# symbol fonts
+#: Private-use characters and what their glyphs show.
+SYMBOLS = {
+    "\uf021": "!", "\uf028": "(", "\uf029": ")", "\uf02a": "*", "\uf02b": "+", "\uf02c": ",", "\uf02d": "−", "\uf02e": ".",
+    "\uf02f": "/", "\uf030": "0", "\uf031": "1", "\uf032": "2", "\uf033": "3", "\uf034": "4", "\uf035": "5", "\uf036": "6",
+    "\uf037": "7", "\uf038": "8", "\uf039": "9", "\uf03a": ":", "\uf03b": ";", "\uf03c": "<", "\uf03d": "=", "\uf03e": ">",
+    "\uf03f": "?", "\uf041": "Α", "\uf042": "Β", "\uf043": "Χ", "\uf044": "Δ", "\uf045": "Ε", "\uf046": "Φ", "\uf047": "Γ",
+    "\uf048": "Η", "\uf049": "Ι", "\uf04a": "ϑ", "\uf04b": "Κ", "\uf04c": "Λ", "\uf04d": "Μ", "\uf04e": "Ν", "\uf04f": "Ο",
+    "\uf050": "Π", "\uf051": "Θ", "\uf052": "Ρ", "\uf053": "Σ", "\uf054": "Τ", "\uf055": "Υ", "\uf057": "Ω", "\uf058": "Ξ",
+    "\uf059": "Ψ", "\uf05a": "Ζ", "\uf05b": "[", "\uf05d": "]", "\uf061": "α", "\uf062": "β", "\uf063": "χ", "\uf064": "δ",
+    "\uf065": "ε", "\uf066": "φ", "\uf067": "γ", "\uf068": "η", "\uf069": "ι", "\uf06a": "φ", "\uf06b": "κ", "\uf06c": "λ",
+    "\uf06d": "μ", "\uf06e": "ν", "\uf06f": "ο", "\uf070": "π", "\uf071": "θ", "\uf072": "ρ", "\uf073": "σ", "\uf074": "τ",
+    "\uf075": "υ", "\uf077": "ω", "\uf078": "ξ", "\uf079": "ψ", "\uf07a": "ζ", "\uf07b": "{", "\uf07d": "}", "\uf0a3": "≤",
+    "\uf0a5": "∞", "\uf0ae": "→", "\uf0b0": "°", "\uf0b1": "±", "\uf0b3": "≥", "\uf0b6": "∂", "\uf0b7": "•", "\uf0b9": "≠",
+    "\uf0bb": "≈", "\uf0d1": "∇", "\uf0d6": "√", "\uf0d7": "×", "\uf0e5": "∑", "\uf0f2": "∫",
 }
-SYMBOL_SAME = "0123456789()[]{}.,;:!?<>*"
