@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loomdoc.functions import pages as P
@@ -69,13 +70,15 @@ def recent(docs: DataFrame, at: str, tie: str, results: DataFrame | None = None,
 def section_ends(outline: DataFrame, doc: str, index: str, level: str, page: str, last: Column) -> DataFrame:
     """Each outline entry with ``end_page``: the page before the next entry of its level or a higher one, or the last.
 
-    The next such entry is found within the document's ordered list of entries.
+    For each level that occurs, one pass from the document's end holds the nearest entry of that level or a higher one: time
+    grows with entries times levels.
     """
-    entry = F.struct(F.col(index).alias("i"), F.col(level).alias("l"), F.col(page).alias("p"))
-    all_of = outline.groupBy(doc).agg(F.array_sort(F.collect_list(entry)).alias("_all"))
-    held = outline.join(all_of, doc)
-    after = F.filter("_all", lambda e: (e["i"] > F.col(index)) & (e["l"] <= F.col(level)))
-    return held.withColumn("end_page", F.coalesce(F.try_element_at(after, F.lit(1))["p"] - 1, last)).drop("_all")
+    levels = sorted(r[0] for r in outline.select(level).distinct().collect() if r[0] is not None)  # outlines are a few levels deep
+    later = W.partitionBy(doc).orderBy(F.desc(index)).rowsBetween(W.unboundedPreceding, -1)
+    nearest = F.lit(None).cast(outline.schema[page].dataType)
+    for k in levels:
+        nearest = F.when(F.col(level) == k, F.last(F.when(F.col(level) <= k, F.col(page)), ignorenulls=True).over(later)).otherwise(nearest)
+    return outline.withColumn("end_page", F.coalesce(nearest - 1, last))
 
 
 def verification_counts(blocks: DataFrame, keys: list[str]) -> DataFrame:
