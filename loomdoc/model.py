@@ -24,7 +24,8 @@ PAGE = f"page_no int, page_width double, page_height double, render_scale double
 PAGE_RESULT = f"{PAGE_KEY}, cache_key string, written_at timestamp, page_json string"
 RESPONSE = f"{PAGE_KEY}, pos int, id string, ko string, cells_ko {GRID}"
 JOB_EVENT = (
-    "job_id string, seq bigint, type string, page int, done int, total int, reason string, cached boolean, warn_count int, skipped_count int"
+    "job_id string, seq bigint, type string, page int, done int, total int, reason string, cached boolean, warn_count int, skipped_count int, "
+    f"page_width double, page_height double, blocks array<{BLOCK}>"
 )
 BLOCK_TYPES = ("heading", "paragraph", "list", "table", "figure", "caption", "header_footer")
 UNTRANSLATED = ("header_footer", "figure")

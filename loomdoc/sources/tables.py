@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+import uuid
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,6 +17,54 @@ from loomdoc.functions import pages as P
 from loomdoc.functions.text import strip
 from loomdoc.operators.layout import PAGE
 from loomdoc.operators.zones import filled_ratio
+from loomdoc.shipping import ship
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """``df`` written to ``spark.checkpoint.dir`` and reread, so that no part of it is computed again; a local master may do without the
+    setting and uses a temporary folder."""
+    spark = df.sparkSession
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("loomdoc.shared.dir", None)
+    if not root and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    path = f"{(root or tempfile.gettempdir()).rstrip('/')}/loomdoc-kept/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _store(rows: DataFrame, folder: str) -> int:
+    """Write (path, content) below ``folder``, each file whole: under a name of its own first, then moved. How many were written."""
+    ship(rows.sparkSession)
+    top = folder if "://" in folder else f"file://{os.path.abspath(folder)}"
+
+    def write(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
+
+        where, root = fs.FileSystem.from_uri(top)
+        for frame in frames:
+            for path, content in zip(frame["path"], frame["content"], strict=True):
+                place = f"{root}/{path}"
+                where.create_dir(place.rsplit("/", 1)[0], recursive=True)
+                own = f"{place}.{uuid.uuid4().hex}.tmp"
+                with where.open_output_stream(own) as sink:
+                    sink.write(content.encode())
+                where.move(own, place)
+            yield pd.DataFrame({"n": [len(frame)]})
+
+    return rows.select("path", "content").mapInPandas(write, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]  # one row
+
+
+def write_results(results: DataFrame, folder: str) -> int:
+    """Store page results (doc_sha, page_no, cache_key, page_json) as files that ``read_results`` finds. A later result under the same key takes the
+    earlier one's place; readers see the old file or the new one, never a part. Rows with a null are left out."""
+    path = F.format_string("%s/pages/p%03d__%s.json", "doc_sha", "page_no", "cache_key")
+    return _store(results.dropna(subset=["doc_sha", "page_no", "cache_key", "page_json"]).select(path.alias("path"), F.col("page_json").alias("content")), folder)
+
+
+def write_meta(docs: DataFrame, folder: str) -> int:
+    """Store document records (columns of ``DOC``) as ``{sha256}/meta.json``, which ``read_meta`` reads."""
+    record = F.to_json(F.struct(*[c for c in docs.columns if c in {x.split()[0] for x in M.DOC.split(", ")}]))
+    return _store(docs.filter("sha256 IS NOT NULL").select(F.concat("sha256", F.lit("/meta.json")).alias("path"), record.alias("content")), folder)
 
 
 def read_glossary(spark: SparkSession, path: str) -> DataFrame:

@@ -11,12 +11,17 @@ from pyspark.sql.streaming import StreamingQuery
 
 from loomdoc import config as C
 from loomdoc.functions import pages as P
-from loomdoc.model import JOB_EVENT
+from loomdoc.model import BLOCK, JOB_EVENT
 from loomdoc.operators.layout import PAGE
 
 
+PAYLOAD = (("page_width", "double"), ("page_height", "double"), ("blocks", f"array<{BLOCK}>"))
+_COLUMNS = ("job_id", "seq", "type", "page", "done", "total", "reason", "cached", "warn_count", "skipped_count", *[c for c, _ in PAYLOAD])
+
+
 def page_events(outcomes: DataFrame) -> DataFrame:
-    """Events of jobs from page outcomes (job_id, order, page, error, cached, warn_count, skipped_count): ``page_done`` and
+    """Events of jobs from page outcomes (job_id, order, page, error, cached, warn_count, skipped_count, and where known the page's
+    page_width, page_height and blocks, which its ``page_done`` carries): ``page_done`` and
     ``progress`` for a page that worked, ``page_error`` for one that did not, ``job_done`` at the end. ``seq`` is the place in the job's log.
 
     Failed pages do not advance ``done``; ``total`` counts all.
@@ -27,16 +32,16 @@ def page_events(outcomes: DataFrame) -> DataFrame:
     numbered = outcomes.withColumn("done", F.count_if(good).over(along).cast("int")).withColumn("total", F.count("*").over(whole).cast("int"))
     none = lambda kind: F.lit(None).cast(kind)
     event = lambda kind, **v: F.struct(
-        F.lit(kind).alias("type"), *[v.get(c, none(k)).cast(k).alias(c) for c, k in (("page", "int"), ("done", "int"), ("total", "int"), ("reason", "string"), ("cached", "boolean"), ("warn_count", "int"), ("skipped_count", "int"))]
+        F.lit(kind).alias("type"), *[v.get(c, none(k)).cast(k).alias(c) for c, k in (("page", "int"), ("done", "int"), ("total", "int"), ("reason", "string"), ("cached", "boolean"), ("warn_count", "int"), ("skipped_count", "int"), *PAYLOAD)]
     )
-    both = F.array(event("page_done", page=F.col("page"), cached=F.col("cached")), event("progress", done=F.col("done"), total=F.col("total")))
+    both = F.array(event("page_done", page=F.col("page"), cached=F.col("cached"), **{c: F.col(c) for c, _ in PAYLOAD if c in outcomes.columns}), event("progress", done=F.col("done"), total=F.col("total")))
     failed = F.array(event("page_error", page=F.col("page"), reason=F.col("error")))
     pages = numbered.select("job_id", "order", F.posexplode(F.when(good, both).otherwise(failed)).alias("_k", "e"))
     sums = outcomes.groupBy("job_id").agg(F.sum(F.when(good, F.col("warn_count")).otherwise(0)).alias("w"), F.sum(F.when(good, F.col("skipped_count")).otherwise(0)).alias("s"))
     ends = sums.select("job_id", F.lit(None).cast("int").alias("order"), F.lit(0).alias("_k"), event("job_done", warn_count=F.col("w"), skipped_count=F.col("s")).alias("e"))
     place = W.partitionBy("job_id").orderBy(F.col("order").asc_nulls_last(), "_k")
     rows = pages.withColumn("order", F.col("order").cast("int")).unionByName(ends)
-    return rows.select("job_id", (F.row_number().over(place) - 1).cast("long").alias("seq"), "e.*").select(*[c.split()[0] for c in JOB_EVENT.split(", ")])
+    return rows.select("job_id", (F.row_number().over(place) - 1).cast("long").alias("seq"), "e.*").select(*_COLUMNS)
 
 
 def after(events: DataFrame, last_seen: Column | int) -> DataFrame:

@@ -135,9 +135,58 @@ def test_html(spark):
     df = pages(spark, [(3, True, blocks)])
     one = df.withColumn("blocks", F.transform("blocks", lambda b: F.when(b["type"] == "table", b.withField("table", b["table"].withField("cells_ko", b["table"]["cells_src"]))).otherwise(b)))
     html = export.document_html(one, F.lit("A & B")).first()["html"]
-    assert "<title>A &amp; B" in html and "<h3>&lt;T&gt;</h3>" in html and "<tr><td>1</td><td></td></tr>" in html and "<p>it&#x27;s</p>" in html and "p.003" in html
+    assert "<title>A &amp; B</title>" in html and "<h2>&lt;T&gt;</h2>" in html and "<tr><td>1</td><td></td></tr>" in html and "<p>it&#x27;s</p>" in html and 'id="page-3"' in html and "<figure>" not in html
+    cropped = export.document_html(one, F.lit("A"), crop=lambda b: F.when(b["id"] == "d", F.lit(b"png"))).first()["html"]
+    assert '<figure><img alt="" src="data:image/png;base64,cG5n"></figure>' in cropped
 
 
 def test_pdf_source_registers(spark):
     pdf.register(spark)
     assert spark.read.format("pdf_words").option("paths", "").load().columns[:2] == ["doc_sha", "page_no"]
+
+
+def test_results_and_records_are_stored_whole(spark, tmp_path):
+    rows = spark.createDataFrame([("s1", 3, "k", '{"page_no": 3}'), ("s1", 12, "k", '{"page_no": 12}'), ("s2", 1, None, "{}")], "doc_sha string, page_no int, cache_key string, page_json string")
+    assert tables.write_results(rows, str(tmp_path / "docs")) == 2
+    newer = spark.createDataFrame([("s1", 3, "k", '{"page_no": 3, "v": "새"}')], rows.schema)
+    assert tables.write_results(newer, str(tmp_path / "docs")) == 1
+    found = sorted(tuple(r) for r in tables.read_results(spark, str(tmp_path / "docs")).select("doc_sha", "page_no", "cache_key", "page_json").collect())
+    assert found == [("s1", 3, "k", '{"page_no": 3, "v": "새"}'), ("s1", 12, "k", '{"page_no": 12}')]
+    assert not [f for f in (tmp_path / "docs").rglob("*.tmp")] and tables.write_results(rows.limit(0), str(tmp_path / "none")) == 0
+    docs = spark.createDataFrame([("s1", "a.pdf", 3, [(1, "T", 2)])], "sha256 string, filename string, page_count int, outline array<struct<level:int,title:string,page:int>>")
+    assert tables.write_meta(docs, str(tmp_path / "meta")) == 1
+    back = tables.read_meta(spark, str(tmp_path / "meta" / "*" / "meta.json")).first()
+    assert (back["sha256"], back["page_count"], back["outline"][0]["title"], back["broken"]) == ("s1", 3, "T", False)
+
+
+def test_page_done_carries_the_page(spark):
+    rows = spark.createDataFrame([("j", 0, 5, None, True, 1, 0, 595.0, 842.0)], "job_id string, order int, page int, error string, cached boolean, warn_count int, skipped_count int, page_width double, page_height double")
+    page = F.array(F.struct(F.lit("p005-b00").alias("id"), F.lit("heading").alias("type"), F.array().cast("array<double>").alias("bbox"), F.lit("x").alias("source"), F.lit(None).cast(M.TABLE).alias("table"), F.lit("y").alias("ko"), F.lit(None).cast(M.VERIFY).alias("verify")))
+    log = {r["type"]: r for r in jobs.page_events(rows.withColumn("blocks", page)).collect()}
+    done = log["page_done"]
+    assert (done["page_width"], done["page_height"], done["blocks"][0]["ko"]) == (595.0, 842.0, "y") and log["progress"]["blocks"] is None
+
+
+def test_second_requests_keep_title_terms_and_budget(spark):
+    df = pages(spark, [(1, True, [block("b0", "paragraph", "needs 5 " * 200)])]).withColumn("terms", F.expr("array(named_struct('en', 'needs', 'ko', '필요', 'note', ''))"))
+    rows = df.select("doc_sha", "page_no", F.explode("blocks").alias("b")).select("doc_sha", "page_no", "b.*").withColumn("verify", F.expr("named_struct('status', 'warn', 'missing', array('5'), 'reason', null)"))
+    row = translate.retry_requests(rows, df, F.lit("T")).first()
+    asked = json.loads(row["request"])
+    assert asked["payload"]["doc_title"] == "T" and asked["payload"]["terms"][0]["en"] == "needs" and asked["budget"] == 6400 and "5" in row["note"]
+    cut = translate.ask(translate.requests(df), lambda r: {"blocks": [], "finish": "length"}).first()
+    assert "cut off" in cut["error"]
+
+
+def test_sections_of_many_entries_take_time_in_proportion(spark):
+    import time
+
+    def seconds(n):
+        rows = spark.range(n).select(F.lit("d").alias("doc"), F.col("id").alias("i"), (F.col("id") % 4).cast("int").alias("level"), (F.col("id") * 2).alias("page"))
+        start = time.perf_counter()
+        got = results.section_ends(rows, "doc", "i", "level", "page", F.lit(-1)).agg(F.sum("end_page"), F.count("*")).first()
+        assert got[1] == n
+        return time.perf_counter() - start
+
+    seconds(1000)
+    small, large = seconds(20_000), seconds(400_000)
+    assert large < 20 * 2 * small + 5
