@@ -8,16 +8,17 @@ Laplace smoothing on transcripts whose roles are known; Viterbi's path gives the
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loomdoc.llm import batches
-from loomdoc.llm.store import packed, unpacked
+from loomdoc.llm.store import materialise, packed, unpacked
 
 ROLES = ("system", "user", "assistant")
 STATES = [(role, first) for role in ROLES for first in (True, False)]
@@ -32,20 +33,21 @@ _ROLE = {name: role for role, names in NAMES.items() for name in names}
 _MARK = re.compile(r"^\s*(?:#{1,4}\s*|\*\*|\[|<\|?)?\s*([A-Za-z][\w.'-]*(?: [A-Z][\w.'-]*){0,2})\s*(?:\*\*|\]|\|?>)?\s*:(?:\*\*)?[ \t]*")
 #: Lengths in words count by powers of two up to this one.
 LENGTHS = 8
-#: Rows of one segment at most, before it is split further.
-SEGMENT_ROWS, SEGMENT_TURNS = 4096, 1024
+#: Turns of a conversation that one row holds at most.
+PART_TURNS = 1 << 14
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>"
 
 
 def marker(line: str) -> tuple[str, int]:
     """Kind of the line's speaker marker and where its text begins."""
-    found = _MARK.match(line[:120])
+    lead = len(line) - len(line.lstrip())
+    found = _MARK.match(line[lead : lead + 120])  # a marker is short; blanks before it may be many
     if not found:
         return "none", 0
     role = _ROLE.get(found[1].lower())
     if role is None and (not found[1][0].isupper() or len(found[1]) > 24):
         return "none", 0
-    return role or "other", found.end()
+    return role or "other", lead + found.end()
 
 
 def observed(lines: list[str]) -> list[tuple[int, int, int, int]]:
@@ -61,6 +63,20 @@ def observed(lines: list[str]) -> list[tuple[int, int, int, int]]:
 SIZES = (len(KINDS), LENGTHS, 2, 2)
 
 
+def counted(transcripts: Iterable[tuple[list[str], list[int]]]) -> list[np.ndarray]:
+    """How often transcripts start in each state, go from one to another, and show each value of each feature in it."""
+    s = len(STATES)
+    start, move, show = np.zeros(s), np.zeros((s, s)), [np.zeros((s, n)) for n in SIZES]
+    for lines, states in transcripts:
+        if not states:
+            continue
+        start[states[0]] += 1
+        np.add.at(move, (states[:-1], states[1:]), 1)
+        for j, values in enumerate(zip(*observed(lines), strict=True)):
+            np.add.at(show[j], (states, list(values)), 1)
+    return [start, move, *show]
+
+
 @dataclass
 class Model:
     start: np.ndarray
@@ -70,17 +86,14 @@ class Model:
     @staticmethod
     def fit(transcripts: list[tuple[list[str], list[int]]], smooth: float = 0.1) -> Model:
         """From lines and their states. Without any, markers alone decide: a known marker starts its role's turn."""
-        s = len(STATES)
-        start, move, show = np.full(s, smooth), np.full((s, s), smooth), [np.full((s, n), smooth) for n in SIZES]
+        return Model.of(counted(transcripts), smooth)
+
+    @staticmethod
+    def of(counts: list[np.ndarray], smooth: float = 0.1) -> Model:
+        """From the tables of ``counted``, or sums of such."""
+        start, move, *show = [x + smooth for x in counts]
         for k, (role, first) in enumerate(STATES):
             show[0][k, KINDS.index(role if first else "none")] += 1
-        for lines, states in transcripts:
-            if not states:
-                continue
-            start[states[0]] += 1
-            np.add.at(move, (states[:-1], states[1:]), 1)
-            for j, values in enumerate(zip(*observed(lines), strict=True)):
-                np.add.at(show[j], (states, list(values)), 1)
         for a, (role, _) in enumerate(STATES):
             for b, (other, first) in enumerate(STATES):
                 if not first and other != role:
@@ -138,6 +151,7 @@ def parse(transcripts: DataFrame, model: Model, column: str = "transcript") -> D
     batches.bound(transcripts.sparkSession)
 
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        batches.claim("chat")
         for texts in parts:
             found = [model.turns(t) for t in texts]
             yield pd.DataFrame({"turns": [[{"role": r, "text": x} for r, x in f] for f in found], "chat": [rendered(f) for f in found]})
@@ -159,21 +173,32 @@ STYLES = (
 
 
 def segments(turns: DataFrame) -> DataFrame:
-    """Conversations (conv_id, turn, role, text) as segments of bounded size: conv_id, segment, part, ``said`` (ordered turns).
+    """Conversations (conv_id, turn, role, text) as rows: conv_id, segment, part, ``said`` (turns in order).
 
-    A segment holds the turns of 1,024 consecutive turn numbers; where more than 4,096 rows share one, hashes of
-    the texts split it into parts. Repeated rows count once. Rows without conv_id or turn stand alone by the hash of
-    their text. Null roles and texts stay as they are; equal turn numbers go by role and text.
+    A conversation is one row of whole turns in the order of (turn, role, text). One of more than 16,384 turns is several, in the order of
+    ``part``, each but the last of just so many turns: its places come from a sort over all tasks, so that no task holds
+    it whole. Repeated rows count once. Rows without conv_id or turn stand alone, ``segment`` being a hash of their text
+    and role (0 for all others). Null roles and texts stay as they are.
     """
-    own = turns.select("conv_id", "turn", "role", "text").distinct()
+    key, rest = ["conv_id", "segment"], ["turn", "role", "text"]
+    own = turns.select("conv_id", *rest).distinct()
     loose = F.col("conv_id").isNull() | F.col("turn").isNull()
-    keyed = own.withColumn("segment", F.when(loose, F.xxhash64("text", "role")).otherwise(F.floor(F.col("turn") / SEGMENT_TURNS)))
-    sizes = keyed.groupBy("conv_id", "segment").count().filter(F.col("count") > SEGMENT_ROWS)
-    same = F.col("c").eqNullSafe(F.col("conv_id")) & (F.col("s") == F.col("segment"))
-    split = keyed.join(sizes.select(F.col("conv_id").alias("c"), F.col("segment").alias("s"), "count"), same, "left").withColumn(
-        "part", F.coalesce(F.pmod(F.xxhash64("turn", "role", "text"), F.ceil(F.col("count") / SEGMENT_ROWS)), F.lit(0)).cast("int")
-    )
-    return split.groupBy("conv_id", "segment", "part").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("said"))
+    keyed = own.withColumn("segment", F.when(loose, F.xxhash64("text", "role")).otherwise(F.lit(0)))
+    said = F.array_sort(F.collect_list(F.struct(*rest))).alias("said")
+    whole = lambda df: df.groupBy(*key).agg(said).select(*key, F.lit(0).alias("part"), "said")
+    large, _ = materialise(keyed.groupBy(*key).count().filter(F.col("count") > PART_TURNS).select(F.col("conv_id").alias("_c"), F.col("segment").alias("_s")), "large")
+    if large.isEmpty():
+        return whole(keyed)
+    here = F.col("conv_id").eqNullSafe(F.col("_c")) & (F.col("segment") == F.col("_s"))
+    long = keyed.join(large, here, "left_semi").withColumn("_head", F.substring("text", 1, 64))
+    ordered = long.repartitionByRange(*key, "turn", "role", "_head").sortWithinPartitions(*key, *rest)
+    placed, _ = materialise(ordered.drop("_head").withColumn("_task", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id()), "ordered")
+    # one row a conversation and task
+    tasks = placed.groupBy(*key, "_task").agg(F.count("*").alias("n"), F.min("_at").alias("_from"))
+    before = F.coalesce(F.sum("n").over(W.partitionBy(*key).orderBy("_task").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    starts = tasks.select(F.col("conv_id").alias("_c"), F.col("segment").alias("_s"), F.col("_task").alias("_t"), (before - F.col("_from")).alias("_shift"))
+    numbered = placed.join(starts, here & (F.col("_task") == F.col("_t"))).withColumn("part", F.floor((F.col("_at") + F.col("_shift")) / PART_TURNS).cast("int"))
+    return whole(keyed.join(large, here, "left_anti")).unionByName(numbered.groupBy(*key, "part").agg(said))
 
 
 def transcript(said: Column, style: Column) -> Column:
@@ -204,9 +229,25 @@ def labelled(said: list[tuple[str | None, str | None]], style: int) -> tuple[lis
 
 
 def fit(parts: DataFrame, style: Column, sample: int = 2000) -> Model:
-    """A model from at most ``sample`` segments (columns of ``segments``), those with the smallest hashes: a bounded sample of
-    labelled rows, so the driver holds no more whatever the corpus."""
+    """A model from at most ``sample`` rows (columns of ``segments``), those with the smallest hashes: a bounded sample of labelled
+    rows. They are counted where they lie and only sums of counts, the size of the model, reach the driver. Null roles count
+    as the user's, turns without text are left out, and an empty table gives the model of markers alone."""
+    batches.bound(parts.sparkSession)
     key = F.xxhash64("conv_id", "segment", "part")
-    rows = parts.select(key.alias("k"), style.alias("style"), F.transform("said", lambda x: F.struct(x["role"], x["text"])).alias("said")).orderBy("k").limit(sample).collect()
-    return Model.fit([labelled([(t[0], t[1]) for t in r["said"]], r["style"]) for r in rows])
-
+    edge = parts.select(key.alias("k")).orderBy("k").limit(sample).agg(F.max("k")).first()[0]  # one row
+    if edge is None:
+        return Model.fit([])
+    shapes = [x.shape for x in counted([])]
+
+    def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        batches.claim("chat")
+        for frame in frames:
+            found = counted(labelled(list(zip(roles, texts, strict=True)), k) for k, roles, texts in zip(frame["style"], frame["roles"], frame["texts"], strict=True))
+            yield pd.DataFrame([(t, i, x) for t, table in enumerate(found) for i, x in enumerate(table.ravel().tolist()) if x], columns=["t", "i", "n"])
+
+    some = parts.filter(key <= edge).select(style.alias("style"), F.transform("said", lambda x: x["role"]).alias("roles"), F.transform("said", lambda x: x["text"]).alias("texts"))
+    sums = some.mapInPandas(count, "t int, i int, n double").groupBy("t", "i").agg(F.sum("n").alias("n"))
+    tables = [np.zeros(shape) for shape in shapes]
+    for t, i, n in sums.collect():  # a row for each count of the model
+        tables[t].flat[i] = n
+    return Model.of(tables)

@@ -320,15 +320,37 @@ def test_chat_of_odd_rows(spark):
     rows = [(1, 0, "user", "hi"), (1, 0, "user", "hi"), (1, 1, "assistant", None), (1, 2, None, "who?"), (None, 0, "user", "lost"), (2, None, "user", "lost"), (3, 0, "robot", ""), (4, 5000, "user", "late"), (4, 1, "user", "early")]
     turns = clashing(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), "said", "chat")
     parts = chat.segments(turns)
-    assert sorted(((r["conv_id"] or 0), len(r["said"])) for r in parts.collect()) == [(0, 1), (1, 3), (2, 1), (3, 1), (4, 1), (4, 1)]
+    assert sorted(((r["conv_id"] or 0), len(r["said"])) for r in parts.collect()) == [(0, 1), (1, 3), (2, 1), (3, 1), (4, 2)]
     model = chat.fit(parts, F.lit(0), sample=3)
     read = chat.parse(parts.withColumn("transcript", chat.transcript(F.col("said"), F.lit(0))), model)
     got = {r["conv_id"]: r for r in read.collect() if r["conv_id"] in (1, 3)}
     assert got[3]["chat"] == "" and got[3]["turns"] == [] and got[1]["chat"].startswith("<|im_start|>user\nhi")
     assert chat.parse(spark.createDataFrame([(None,), ("",)], "transcript string"), model).filter("chat <> ''").count() == 0
     assert chat.segments(turns.limit(0)).count() == 0
-    many = spark.range(9000).select(F.lit(1).alias("conv_id"), F.lit(0).alias("turn"), F.lit("user").alias("role"), F.col("id").cast("string").alias("text"))
-    assert chat.segments(many).select(F.max(F.size("said"))).first()[0] < chat.SEGMENT_ROWS
+
+
+def test_long_conversations(spark, monkeypatch):
+    """5,000 turns are one chat; beyond the bound of a row, parts in order hold every turn, also where all have one number."""
+    rows = spark.range(5000).select(F.lit(1).alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 2 == 0, "user").otherwise("assistant").alias("role"), F.concat(F.lit("text of turn "), "id").alias("text"))
+    parts = chat.segments(rows)
+    model = chat.fit(parts, F.lit(0))
+    read = lambda p: chat.parse(p.withColumn("transcript", chat.transcript(F.col("said"), F.lit(0))), model).orderBy("part").collect()
+    one = read(parts)
+    want = [("user" if k % 2 == 0 else "assistant", f"text of turn {k}") for k in range(5000)]
+    assert len(one) == 1 and [(t["role"], t["text"]) for t in one[0]["turns"]] == want and one[0]["chat"] == chat.rendered(want)
+    monkeypatch.setattr(chat, "PART_TURNS", 300)
+    flat = rows.withColumn("conv_id", F.lit(None).cast("int")).withColumn("text", F.lit("x")).withColumn("role", F.lit("user"))  # one hot group of loose rows
+    few = rows.filter("turn < 7").withColumn("conv_id", F.lit(2))
+    same_turn = rows.withColumn("conv_id", F.lit(3)).withColumn("turn", F.lit(4).cast("long"))
+    cut = chat.segments(rows.unionByName(few).unionByName(flat).unionByName(same_turn).repartition(5))
+    got = collections.defaultdict(list)
+    for r in sorted(cut.collect(), key=lambda r: (r["conv_id"] or 0, r["part"])):
+        assert len(r["said"]) <= 300
+        got[r["conv_id"]].append([(t["turn"], t["role"], t["text"]) for t in r["said"]])
+    assert [len(x) for x in got[1]] == [300] * 16 + [200] and [t[2] for x in got[1] for t in x] == [t for _, t in want]
+    assert len(got[2]) == 1 and len(got[2][0]) == 7 and sum(map(len, got[None])) == 5000
+    assert [t for x in got[3] for t in x] == sorted((4, *t) for t in want)
+    assert "".join(r["chat"] for r in read(cut.filter("conv_id = 1"))) == one[0]["chat"]
 
 
 # ---- 9
