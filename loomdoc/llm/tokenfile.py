@@ -40,7 +40,7 @@ from loomdoc.llm import batches, store
 MAGIC = b"LDTOK1\0\0"
 BLOCK_IDS, LEVEL = 1 << 16, 3
 #: Cached words are dropped beyond this many bytes, by estimate, which bounds memory and changes no result.
-WORD_BYTES = 128 << 20
+WORD_BYTES = 192 << 20
 SIGNS = b".,;:!?"
 #: A capital before a character from U+0300 on, which may be a mark that composes with it.
 MARKED = re.compile(rb"[A-Z][\xcc-\xf4]")
@@ -183,9 +183,10 @@ class Tokenizer:
         held = json.loads(self.library.to_str())
         added = held["added_tokens"]
         plain = all(not (t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"]) and len(t["content"].split()) == 1 for t in added)
+        plain &= not any(t["content"][-1] in SIGNS.decode() for t in added)
         self.wordwise = plain and all(held[k] == v for k, v in WORDWISE.items())
         # added tokens are found anywhere, in the case they are written in; in another case they must not become one
-        self.added = re.compile(b"|".join(re.escape(t["content"].encode()) for t in added), re.IGNORECASE) if added else None
+        self.added = [t["content"].encode().lower() for t in added]
         self.words: dict[bytes, bytes] = {}
         self.size = 0
 
@@ -196,12 +197,16 @@ class Tokenizer:
         Marks are at U+0300 and above and compose with a capital only in the word it stands in, so such words stay as they
         are, and so do words that hold an added token in any case.
         """
-        odd = [] if text.isascii() or not MARKED.search(text) else [MARKED.search]
-        if self.added and self.added.search(text):
-            odd.append(self.added.search)
-        if not odd:
-            return text.lower().split()
-        return [w if any(found(w) for found in odd) else w.lower() for w in text.split()]
+        low = text.lower()
+        if not self.holds_added(low) and (text.isascii() or not MARKED.search(text)):
+            return low.split()
+        return [w if MARKED.search(w) or self.holds_added(w.lower()) else w.lower() for w in text.split()]
+
+    def holds_added(self, low: bytes) -> bool:
+        for token in self.added:
+            if token in low:
+                return True
+        return False
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         if not self.wordwise:
@@ -213,8 +218,8 @@ class Tokenizer:
             known.clear()
             self.size = 0
         new = set(chain.from_iterable(split)).difference(known)
-        # a letter and a sign after it are never one piece: "word," is "word" and ","
-        signed = [w for w in new if w[-1] in SIGNS and w[-2:-1].isalpha() and not (self.added and self.added.search(w))]
+        # a letter and a sign after it are never one piece: "word," is "word" and ","; no added token ends in such a pair
+        signed = [w for w in new if w[-1] in SIGNS and w[-2:-1].isalpha()]
         new.difference_update(signed)
         new.update(x for w in signed for x in (w[:-1], w[-1:]) if x not in known)
         self.learn(list(new))
