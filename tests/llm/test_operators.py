@@ -257,6 +257,8 @@ def test_url_rules(spark):
     assert got[urls[4]][2:] == ("com/en/", "block") and got[urls[5]][2:] == ("net/de/", "block") and got[urls[6]][2:] == ("example.net/de/8", "block")
     assert got[urls[7]][2:] == got[urls[8]][2:] == got[urls[9]][2:] == (None, "allow")
     assert got[urls[10]][:2] == ("h", "") and got[urls[11]][2] == "com/en/" and got[urls[12]][2:] == ("spam", "allow")
+    hosts = spark.createDataFrame([("x://com.example.org/a",), ("x://a.com",), ("x://com/b",), ("x://acom/",)], "url string")
+    assert {r["url"]: r["rule"] for r in urlrules.judge(hosts, [urlrules.prefix_rule("block", "com", "")]).collect()} == {"x://com.example.org/a": None, "x://a.com": "com", "x://com/b": "com", "x://acom/": None}
     assert urlrules.judge(df, []).filter("verdict <> 'allow'").count() == 0 and urlrules.judge(df.limit(0), rules).count() == 0
 
 
