@@ -105,9 +105,9 @@ def without_overlap(rows: DataFrame, zones: DataFrame) -> DataFrame:
 
 
 def merge_vertical(boxes: list[tuple[float, ...]], gap: float = C.FIGURE_MERGE_GAP) -> list[list[float]]:
-    """From top to bottom, a box joins the one before if they overlap in x and lie within ``gap``."""
+    """From top to bottom, a box joins the one before if they overlap in x and lie within ``gap``. Equal tops go from left to right."""
     out: list[list[float]] = []
-    for b in sorted(boxes, key=lambda x: x[1]):
+    for b in sorted(boxes, key=lambda x: (x[1], x[0], x[3], x[2])):
         if out and b[0] < out[-1][2] and out[-1][0] < b[2] and b[1] - out[-1][3] <= gap:
             a = out[-1]
             a[:] = min(a[0], b[0]), min(a[1], b[1]), max(a[2], b[2]), max(a[3], b[3])
