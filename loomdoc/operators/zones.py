@@ -14,6 +14,8 @@ from loomdoc.operators.layout import PAGE
 from loomdoc.shipping import ship
 
 BOX = ["x0", "top", "x1", "bottom"]
+#: Hulls held at once against those near them in x.
+CLUSTER_ROWS = 256
 ZONE = "doc_sha string, page_no int, zone_no int, x0 double, top double, x1 double, bottom double"
 
 
@@ -46,23 +48,31 @@ def classify_candidates(candidates: DataFrame, metrics: DataFrame) -> DataFrame:
     return held.withColumn("kind", kind).withColumn("cells", F.when(F.col("kind") == "table", T.clean_cells(F.col("cells"))))
 
 
-def _components(near: np.ndarray) -> np.ndarray:
-    """Labels of connected components of a symmetric relation."""
-    labels = np.arange(len(near))
-    while True:
-        low = np.where(near, labels[None, :], len(near)).min(1)
-        low = np.minimum(labels, low)
-        low = low[low]
-        if (low == labels).all():
-            return labels
-        labels = low
+def _least_near(low: np.ndarray, high: np.ndarray, gap: float) -> np.ndarray:
+    """For hulls in order of their left edge, the place of the first one that is near in both directions, itself included.
+
+    Only hulls whose extents in x can be near are held against each other, some rows at a time.
+    """
+    n, slack = len(low), gap + 1e-6 * (1 + np.abs(low).max() + np.abs(high).max())
+    reach = np.maximum.accumulate(high[:, 0])
+    found = np.empty(n, np.int64)
+    for start in range(0, n, CLUSTER_ROWS):
+        rows = slice(start, min(n, start + CLUSTER_ROWS))
+        first = np.searchsorted(reach, low[start, 0] - slack, "left")
+        held = slice(first, np.searchsorted(low[:, 0], high[rows, 0].max() + slack, "right"))
+        near = np.ones((rows.stop - start, held.stop - first), bool)
+        for axis in (0, 1):
+            near &= low[rows, axis, None] - high[None, held, axis] <= gap
+            near &= low[None, held, axis] - high[rows, axis, None] <= gap
+        found[rows] = first + near.argmax(1)
+    return found
 
 
 def cluster_boxes(boxes: np.ndarray, images: np.ndarray, gap: float = C.CLUSTER_GAP) -> list[tuple[np.ndarray, int, bool]]:
     """Hull, members and whether one is an image, for boxes merged while hulls are near in both directions.
 
     Hulls only grow, so the result does not depend on the order of merges. Boxes whose corners share a cell of the
-    gap's size are near in any case and are merged first, which leaves few hulls on crowded pages.
+    gap's size are near in any case and are merged first. In each round every hull joins the first one near it and whatever that one joins.
     """
     cells = np.floor(boxes[:, :2] / max(gap, 1e-9)).astype(np.int64)
     _, label = np.unique(cells, axis=0, return_inverse=True)
@@ -73,12 +83,14 @@ def cluster_boxes(boxes: np.ndarray, images: np.ndarray, gap: float = C.CLUSTER_
         low, high = np.full((n, 2), np.inf), np.full((n, 2), -np.inf)
         np.minimum.at(low, label, hulls[:, :2])
         np.maximum.at(high, label, hulls[:, 2:])
-        counts = np.bincount(label, counts, n).astype(int)
-        image = np.bincount(label, image, n) > 0
+        order = np.argsort(low[:, 0], kind="stable")
+        low, high = low[order], high[order]
+        counts, image = np.bincount(label, counts, n).astype(int)[order], (np.bincount(label, image, n) > 0)[order]
         hulls = np.hstack([low, high])
-        apart = np.maximum(low[:, None] - high[None, :], low[None, :] - high[:, None])
-        near = (apart <= gap).all(2)
-        _, label = np.unique(_components(near), return_inverse=True)
+        joins = _least_near(low, high, gap)
+        while (joins[joins] != joins).any():
+            joins = joins[joins]
+        _, label = np.unique(joins, return_inverse=True)
         if label.max() + 1 == n:
             return list(zip(hulls, counts.tolist(), image.tolist(), strict=True))
 

@@ -2,6 +2,7 @@ import itertools
 import random
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from loomdoc import model as M
@@ -38,6 +39,51 @@ def test_clusters_equal_merging_one_by_one_in_any_order():
         assert got == brute_clusters(boxes, 35.0)
 
 
+def test_clusters_of_many_spread_primitives():
+    side = np.arange(120) * 50.0
+    corners = np.stack(np.meshgrid(side, side), -1).reshape(-1, 2)  # 45 apart: none near
+    apart = zones.cluster_boxes(np.hstack([corners, corners + 5]), np.zeros(len(corners), bool))
+    assert len(apart) == len(corners) == 14_400 and {n for _, n, _ in apart} == {1}
+    chain = zones.cluster_boxes(np.hstack([corners, corners + 20]), np.zeros(len(corners), bool))
+    assert [(h.tolist(), n) for h, n, _ in chain] == [([0, 0, 5970, 5970], 14_400)]
+
+
+def brute_lines(words):
+    rows = []
+    for w in sorted(words, key=lambda w: (round(w[2], 1), w[1])):
+        top, bottom = w[2], w[4]
+        low, high = rows[-1][1] if rows else (0, 0)
+        height = min(bottom - top, high - low)
+        if rows and height > 0 and min(bottom, high) - max(top, low) >= 0.5 * height:
+            rows[-1] = [*rows[-1][0], w], (min(low, top), max(high, bottom))
+        else:
+            rows.append(([w], (top, bottom)))
+    out = []
+    for held, _ in rows:
+        joined = []
+        for text, x0, top, x1, bottom, size in sorted(held, key=lambda w: w[1]):
+            last = joined[-1] if joined else None
+            if last and 0 < size < last[5] * 0.8 and (top < last[2] - 1 or bottom > last[4] + 1) and x0 - last[3] <= 1.8:
+                joined[-1] = (last[0] + text, last[1], min(last[2], top), max(last[3], x1), max(last[4], bottom), last[5])
+            else:
+                joined.append((text, x0, top, x1, bottom, size))
+        hull = [f(w[k] for w in joined) for f, k in ((min, 1), (min, 2), (max, 3), (max, 4))]
+        out.append((" ".join(w[0] for w in joined), *hull, sum(w[5] for w in joined) / len(joined)))
+    return out
+
+
+def test_lines_equal_joining_word_by_word():
+    rng = random.Random(5)
+    for _ in range(300):
+        held = [
+            (f"w{k}", x := rng.randint(0, 60) * 1.0, y := rng.choice([0, 0, 4, 4.04, 7, 12, 12, 15]) + rng.choice([0, 0, 0, 0.5]), x + rng.choice([4, 9]), y + rng.choice([10, 10, 10, 6, 0]), rng.choice([10, 10, 6, 0]))
+            for k in range(rng.randint(1, 25))
+        ]
+        frame = pd.DataFrame(held, columns=["text", "x0", "top", "x1", "bottom", "size"]).assign(doc_sha="d", page_no=1, superscript_gap=1.8)
+        got = layout._page_lines(frame)
+        assert list(got[["text", "x0", "top", "x1", "bottom", "size"]].itertuples(index=False, name=None)) == brute_lines(held)
+
+
 def test_vertical_merge_and_labels():
     assert zones.merge_vertical([(0, 100, 10, 110), (5, 0, 20, 50), (30, 120, 40, 130)]) == [[0, 0, 20, 110], [30, 120, 40, 130]]
     grown = zones.absorb_labels([[100, 100, 200, 200], [100, 300, 200, 400]], [(150, 230, 160, 240), (150, 270, 160, 280), (500, 500, 510, 510)])
