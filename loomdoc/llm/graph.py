@@ -28,3 +28,20 @@ def components(links: DataFrame) -> DataFrame:
         if not going:
             discard(spark, kept)
             return labels
+
+
+def extended(labels: DataFrame | None, links: DataFrame) -> DataFrame:
+    """A table like that of ``components`` for the links behind ``labels`` (None: none) and ``links``.
+
+    Only the new links are followed, between the components that are known; a component keeps its smallest node. Nodes of ``links``
+    that no label names are their own component so far. Links that are empty leave the labels as they are.
+    """
+    if labels is None:
+        return components(links)
+    known = labels.select("node", "comp")
+    for end in ("a", "b"):
+        links = links.join(known.select(F.col("node").alias(end), F.col("comp").alias(f"_{end}")), end, "left").withColumn(end, F.coalesce(f"_{end}", end)).drop(f"_{end}")
+    moved = components(links.filter("a <> b")).select(F.col("node").alias("comp"), F.col("comp").alias("to"))
+    old = known.join(moved, "comp", "left").select("node", F.coalesce("to", "comp").alias("comp"))
+    new = moved.join(known.select(F.col("node").alias("comp")), "comp", "left_anti").select(F.col("comp").alias("node"), F.col("to").alias("comp"))
+    return materialise(old.unionByName(new), "components")[0]

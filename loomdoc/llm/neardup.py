@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomdoc.llm import batches
-from loomdoc.llm.graph import components
+from loomdoc.llm.graph import extended
 from loomdoc.llm.store import discard, materialise, packed, unpacked
 
 WORDS, BANDS, ROWS = 5, 48, 5
@@ -256,7 +256,7 @@ def _judged(docs: DataFrame, column: str) -> DataFrame:
     # a doc_id with several texts has a set for each, and a link of any of them counts
     sets, at_sets = materialise(made_sets, "sets")
     live = members.join(scores, "rep").select("key", "rep", "n", "score", F.col("rep").alias("comp"), F.lit(1 << 30).alias("cap"))
-    links, paths, fresh = None, [], True
+    comps, paths, fresh = None, [], True
     for turn in range(HUB_ROUNDS + 1):
         if turn == 0:
             pairs = _against_hubs(live, F.col("score"))
@@ -274,8 +274,8 @@ def _judged(docs: DataFrame, column: str) -> DataFrame:
         new, path = materialise(_verified(pairs, sets), "verified")
         paths.append(path)
         fresh = not new.isEmpty()
-        links = new if links is None else links.union(new)
-        comps = components(links)
+        if comps is None or fresh:
+            comps = extended(comps, new)
         if turn and last:
             break
         live = members.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", "n", F.coalesce("comp", "rep").alias("comp"))
@@ -288,7 +288,7 @@ def _judged(docs: DataFrame, column: str) -> DataFrame:
     out = sketches.select("doc_id", "n", "f1", "f2").join(named, ["f1", "f2"], "left")
     component = F.when(F.col("doc_id").isNull(), F.lit(None)).otherwise(F.coalesce("comp", "doc_id"))
     result = out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"), "f1", "f2")
-    discard(spark, at_members, at_scores, at_sets, *[p for p in paths if "/live-" in p])
+    discard(spark, at_members, at_scores, at_sets, *paths)
     del at_sketches, at_classes
     return result
 

@@ -197,6 +197,11 @@ def test_components(spark):
             label[a] = label[b] = min(label[a], label[b])
     got = graph.components(spark.createDataFrame(links, "a long, b long")).collect()
     assert {r["node"]: r["comp"] for r in got} == label
+    rng.shuffle(links)
+    grown = None
+    for part in (links[:60], links[60:61], [], links[61:]):
+        grown = graph.extended(grown, spark.createDataFrame(part, "a long, b long"))
+    assert {r["node"]: r["comp"] for r in grown.collect()} == label
 
 
 # ---- 3
