@@ -10,8 +10,8 @@ With 48 bands of 5 a pair at similarity 0.75 is missed with probability 2.3e-6,
 
 Candidates are not all pairs of a bucket. Members are first held against the bucket's hub. Documents of one component need no further link, so only buckets
 that still hold several components go on, without documents that cannot reach the threshold: a link to another component needs
-3/7 of both sizes in shingles which other components have. Pairs of what is left are formed when they are few beside
-the rows or when hubs find no more; else the next hub is tried.
+3/7 of both sizes in shingles which other components have. What is left when pairs are few beside the rows or when hubs find
+no more is joined on rare shingles, which every linked pair has in common; else the next hub is tried.
 """
 
 from __future__ import annotations
@@ -34,10 +34,12 @@ COORDINATES = BANDS * ROWS
 ENOUGH = (75, 100)
 #: Tables of ids up to this size are broadcast, larger ones are joined by a shuffle.
 BROADCAST_BYTES = 32 << 20
-#: What is left is compared pair by pair if that makes no more pairs than this for each row.
+#: What hubs leave is joined on rare shingles if its buckets hold no more pairs than this for each row.
 PAIRS_A_ROW = 64
-#: Hub rounds before it is compared in any case.
+#: Hub rounds before it is joined in any case.
 HUB_ROUNDS = 8
+#: Sets with the same rare shingle that one part takes.
+PART = 1024
 #: Components from this many documents on are large.
 LARGE = 8
 #: Shingles placed at once, and bytes of a worker's table of word hashes.
@@ -162,14 +164,31 @@ def _against_hubs(members: DataFrame, score: Column) -> DataFrame:
     return found.select(F.least("rep", "hub.rep").alias("a"), F.greatest("rep", "hub.rep").alias("b")).distinct()
 
 
-def _all_pairs(live: DataFrame) -> DataFrame:
-    """Pairs of different components whose sizes and caps allow a link, each once: in the smallest of the buckets' keys that both are in."""
-    keyed = live.join(live.groupBy("rep").agg(F.collect_list("key").alias("keys")), "rep")  # a document has one key a band
-    other = keyed.select("key", *[F.col(c).alias(f"{c}2") for c in ("rep", "n", "comp", "big", "cap_l", "cap_s", "keys")])
+def _rare_pairs(live: DataFrame, sets: DataFrame) -> tuple[DataFrame, str]:
+    """Pairs of different components that meet in a bucket and in a rare shingle, if sizes and caps allow a link; and a table they are read from.
+
+    Shingles are ordered: those of one component first, then by how many sets have them. Linked sets have 3/4 of each in common, so the
+    first shingle they share is among the first quarter (and one) of both, and as many as a link needs must not come before it. A
+    shingle of many sets is dealt to parts of ``PART`` sets, each of which meets all others there.
+    """
+    caps = [F.max(c).alias(c) for c in ("big", "cap_l", "cap_s")]
+    docs = live.groupBy("rep").agg(F.min("comp").alias("comp"), *caps, F.collect_set("key").alias("keys"))  # a document has one key a band
+    own = docs.select("rep", "comp").join(sets, "rep").select("rep", "comp", F.xxhash64("items").alias("set"), F.explode("items").alias("item"))
+    held = own.groupBy("item").agg((F.min("comp") != F.max("comp")).alias("shared"), F.count("*").alias("often"))
+    ranked = own.join(held, "item").groupBy("rep", "set").agg(F.array_sort(F.collect_set(F.struct("shared", "often", "item"))).alias("items"))
+    first = F.expr(f"slice(items, 1, cast(size(items) - ({ENOUGH[0]}L * size(items) + {ENOUGH[1] - 1}) div {ENOUGH[1]} + 1 as int))")
+    rare = ranked.select("rep", F.size("items").cast("long").alias("n"), F.posexplode(first).alias("at", "x")).filter("x.shared")
+    placed, path = materialise(rare.select("rep", "n", (F.col("n") - F.col("at")).alias("left"), F.col("x.item").alias("item")).join(docs, "rep"), "placed")
+    parts = placed.groupBy("item").agg(F.ceil(F.count("*") / PART).alias("parts"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+    dealt = placed.join(parts.filter("lo <> hi").select("item", "parts"), "item")
+    one = dealt.withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts"))).drop("parts")
+    every = dealt.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    two = every.select("item", "part", *[F.col(c).alias(f"{c}2") for c in ("rep", "n", "left", "comp", "big", "cap_l", "cap_s", "keys")])
     meets = (F.col("n2") <= F.when(F.col("big2"), F.col("cap_l")).otherwise(F.col("cap_s"))) & (F.col("n") <= F.when(F.col("big"), F.col("cap_l2")).otherwise(F.col("cap_s2")))
-    allowed = (F.col("rep") < F.col("rep2")) & (F.col("comp") != F.col("comp2")) & _close(F.col("n"), F.col("n2")) & meets
-    near = keyed.join(other, "key").filter(allowed & (F.array_min(F.array_intersect("keys", "keys2")) == F.col("key")))
-    return near.select(F.col("rep").alias("a"), F.col("rep2").alias("b"))
+    enough = sum(ENOUGH) * F.least("left", "left2") >= ENOUGH[0] * (F.col("n") + F.col("n2"))
+    allowed = (F.col("rep") < F.col("rep2")) & (F.col("comp") != F.col("comp2")) & _close(F.col("n"), F.col("n2")) & meets & enough
+    found = one.join(two, ["item", "part"]).filter(allowed & F.arrays_overlap("keys", "keys2"))
+    return found.select(F.col("rep").alias("a"), F.col("rep2").alias("b")).distinct(), path
 
 
 def _mixed(members: DataFrame) -> DataFrame:
@@ -268,7 +287,8 @@ def _judged(docs: DataFrame, column: str) -> DataFrame:
                 break
             last = turn == HUB_ROUNDS or not fresh or cross <= PAIRS_A_ROW * rows
             if last:
-                pairs = _all_pairs(live)
+                pairs, path = _rare_pairs(live, sets)
+                paths.append(path)
             else:
                 pairs = _against_hubs(live, F.xxhash64("rep", F.lit(turn)))
         new, path = materialise(_verified(pairs, sets), "verified")

@@ -1,7 +1,9 @@
 """Operators on small tables: odd rows, empty tables, clashing columns, and brute force."""
 
 import collections
+import itertools
 import math
+import random
 import subprocess
 import sys
 import zlib
@@ -158,6 +160,32 @@ def test_hubs_and_rest_lose_no_link(spark, monkeypatch):
         assert {r["doc_id"]: r["component_id"] for r in neardup.linked(df).collect()} == want
 
 
+@pytest.mark.parametrize("part", [3, 1024])
+def test_rare_shingles_find_every_link(spark, monkeypatch, part):
+    """One bucket of sets near the threshold, whose common shingles many of them have."""
+    monkeypatch.setattr(neardup, "PART", part)
+    draw = random.Random(part)
+    pool, sets = list(range(1, 61)), {}
+    for rep in range(60):
+        near = sets[draw.randrange(rep)] if rep % 3 == 2 else None
+        items = set(near) - set(draw.sample(sorted(near), len(near) // 8)) if near else set(draw.sample(pool, draw.randint(20, 48)))
+        sets[rep] = items | {1000 + rep * 10 + j for j in range(draw.randint(0, 4))}
+    comp = {r: r - r % 2 if r < 10 else r for r in sets}
+    close = lambda x, y: 100 * len(x & y) >= 75 * len(x | y)
+    wanted = {(a, b) for a, b in itertools.combinations(sets, 2) if comp[a] != comp[b] and close(sets[a], sets[b])}
+    assert len(wanted) > 15
+    far = 1 << 30
+    rows = [(key, r, len(sets[r]), comp[r], False, far, far, far) for r in sets for key in ([5, 6] if r % 2 else [5])]
+    live = spark.createDataFrame(rows, "key long, rep long, n int, comp long, big boolean, cap_l long, cap_s long, cap long")
+    held = spark.createDataFrame([(r, sorted(x)) for r, x in sets.items()], "rep long, items array<long>")
+    pairs, _ = neardup._rare_pairs(live, held)
+    met = [tuple(r) for r in pairs.collect()]
+    assert len(met) == len(set(met)) < 60 * 59 // 2
+    assert {tuple(r) for r in neardup._verified(pairs, held).collect()} == wanted
+    apart = live.withColumn("key", live.rep)
+    assert neardup._rare_pairs(apart, held)[0].isEmpty()
+
+
 def test_near_duplicates_of_odd_rows(spark, odd):
     rows = neardup.linked(odd).collect()
     assert len(rows) == len(ODD)
