@@ -38,8 +38,8 @@ BROADCAST_BYTES = 32 << 20
 PAIRS_A_ROW = 64
 #: Hub rounds before it is joined in any case.
 HUB_ROUNDS = 8
-#: Sets with the same rare shingle that one part takes.
-PART = 1024
+#: Sets with the same rare shingle that one part takes, and rows of a bucket.
+PART, JOINED = 1024, 256
 #: Components from this many documents on are large.
 LARGE = 8
 #: Shingles placed at once, and bytes of a worker's table of word hashes.
@@ -156,11 +156,20 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return held.filter(ENOUGH[1] * F.col("c") >= ENOUGH[0] * (F.col("s") - F.col("c"))).select("a", "b")
 
 
+def _met(rows: DataFrame, by: str, buckets: DataFrame, how: str = "inner") -> DataFrame:
+    """``rows`` joined with the one row that ``buckets`` has for a key. Large buckets are dealt to parts of about ``JOINED`` rows by
+    the column ``by``, and their row goes to each part; ``size`` of both sides is that of the bucket at the start."""
+    parts = F.ceil(F.col("size") / JOINED)
+    dealt = rows.withColumn("part", F.pmod(F.xxhash64(by), parts))
+    given = buckets.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))).drop("size")
+    return dealt.join(given, ["key", "part"], how).drop("part")
+
+
 def _against_hubs(members: DataFrame, score: Column) -> DataFrame:
     """Each bucket's members with the one that scores highest, if their components differ and their sizes and caps allow a link."""
-    hubs = members.groupBy("key").agg(F.max(F.struct(score.alias("s"), F.col("rep"), F.col("n"), F.col("comp"), F.col("cap"))).alias("hub"))
+    hubs = members.groupBy("key").agg(F.max(F.struct(score.alias("s"), F.col("rep"), F.col("n"), F.col("comp"), F.col("cap"))).alias("hub"), F.max("size").alias("size"))
     allowed = _close(F.col("n"), F.col("hub.n")) & (F.col("n") <= F.col("hub.cap")) & (F.col("hub.n") <= F.col("cap"))
-    found = members.join(hubs, "key").filter((F.col("comp") != F.col("hub.comp")) & allowed)
+    found = _met(members, "rep", hubs).filter((F.col("comp") != F.col("hub.comp")) & allowed)
     return found.select(F.least("rep", "hub.rep").alias("a"), F.greatest("rep", "hub.rep").alias("b")).distinct()
 
 
@@ -193,8 +202,8 @@ def _rare_pairs(live: DataFrame, sets: DataFrame) -> tuple[DataFrame, str]:
 
 def _mixed(members: DataFrame) -> DataFrame:
     """Rows of buckets that hold more than one component."""
-    keys = members.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("key")
-    return members.join(keys, "key", "left_semi")
+    keys = members.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max("size").alias("size")).filter("lo <> hi").select("key", "size")
+    return _met(members, "rep", keys, "left_semi")
 
 
 def _capped(mixed: DataFrame, sets: DataFrame) -> DataFrame:
@@ -211,7 +220,7 @@ def _capped(mixed: DataFrame, sets: DataFrame) -> DataFrame:
     held = held.filter(F.least("l1", "s1") != F.greatest("l2", "s2"))
     other = lambda lo, hi: F.count_if((F.col(lo) != F.col("comp")) | (F.col(hi) != F.col("comp")))
     reach = own.join(held, "item").groupBy("rep", "big").agg(other("l1", "l2").alias("ul"), other("s1", "s2").alias("us"))
-    caps = mixed.join(reach, "rep").select("key", "rep", "n", "comp", "big", (F.expr("7 * ul div 3") - F.col("n")).alias("cap_l"), (F.expr("7 * us div 3") - F.col("n")).alias("cap_s"))
+    caps = mixed.join(reach, "rep").select("key", "size", "rep", "n", "comp", "big", (F.expr("7 * ul div 3") - F.col("n")).alias("cap_l"), (F.expr("7 * us div 3") - F.col("n")).alias("cap_s"))
     return caps.withColumn("cap", F.greatest("cap_l", "cap_s"))
 
 
@@ -224,17 +233,17 @@ def _hopeful(members: DataFrame, sets: DataFrame) -> tuple[DataFrame, str] | Non
         discard(spark, at_mixed)
         return None
     capped, at_capped = materialise(_capped(mixed, sets), "capped")
-    per = capped.groupBy("key", "comp").agg(F.min("n").alias("lo"), F.max("cap").alias("hi"))
-    one = per.groupBy("key").agg(F.min(F.struct("lo", "comp")).alias("a"), F.max(F.struct("hi", "comp")).alias("b"))
+    per = capped.groupBy("key", "comp").agg(F.min("n").alias("lo"), F.max("cap").alias("hi"), F.max("size").alias("size"))
+    one = per.groupBy("key").agg(F.min(F.struct("lo", "comp")).alias("a"), F.max(F.struct("hi", "comp")).alias("b"), F.max("size").alias("size"))
     two = (
-        per.join(one, "key")
+        _met(per, "comp", one)
         .groupBy("key", "a", "b")
-        .agg(F.min(F.when(F.col("comp") != F.col("a.comp"), F.col("lo"))).alias("lo2"), F.max(F.when(F.col("comp") != F.col("b.comp"), F.col("hi"))).alias("hi2"))
+        .agg(F.max("size").alias("size"), F.min(F.when(F.col("comp") != F.col("a.comp"), F.col("lo"))).alias("lo2"), F.max(F.when(F.col("comp") != F.col("b.comp"), F.col("hi"))).alias("hi2"))
     )
     least = F.when(F.col("comp") == F.col("a.comp"), F.col("lo2")).otherwise(F.col("a.lo"))
     most = F.when(F.col("comp") == F.col("b.comp"), F.col("hi2")).otherwise(F.col("b.hi"))
     fits = (F.col("cap") >= least) & (4 * F.col("cap") >= 3 * F.col("n")) & (most >= F.col("n"))
-    fitting, at_fitting = materialise(capped.join(two, "key").filter(fits).select(*capped.columns), "fitting")
+    fitting, at_fitting = materialise(_met(capped, "rep", two).filter(fits).select(*capped.columns), "fitting")
     live = materialise(_mixed(fitting), "live")
     discard(spark, at_mixed, at_capped, at_fitting)
     return live
@@ -274,7 +283,7 @@ def _judged(docs: DataFrame, column: str) -> DataFrame:
     made_sets = texts.select(F.col("doc_id").alias("rep"), take("t").alias("items"))
     # a doc_id with several texts has a set for each, and a link of any of them counts
     sets, at_sets = materialise(made_sets, "sets")
-    live = members.join(scores, "rep").select("key", "rep", "n", "score", F.col("rep").alias("comp"), F.lit(1 << 30).alias("cap"))
+    live = members.join(scores, "rep").select("key", "size", "rep", "n", "score", F.col("rep").alias("comp"), F.lit(1 << 30).alias("cap"))
     comps, paths, fresh = None, [], True
     for turn in range(HUB_ROUNDS + 1):
         if turn == 0:
@@ -298,7 +307,7 @@ def _judged(docs: DataFrame, column: str) -> DataFrame:
             comps = extended(comps, new)
         if turn and last:
             break
-        live = members.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", "n", F.coalesce("comp", "rep").alias("comp"))
+        live = members.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("key", "size", "rep", "n", F.coalesce("comp", "rep").alias("comp"))
         found = _hopeful(live, sets)
         if found is None:
             break

@@ -155,8 +155,9 @@ def test_hubs_and_rest_lose_no_link(spark, monkeypatch):
         rows.append((k, " ".join(words)))
     want = {d: c for d, (_, c) in brute_components(rows).items()}
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    for rounds in (8, 1):
+    for rounds, joined in ((8, 256), (1, 256), (8, 7)):
         monkeypatch.setattr(neardup, "HUB_ROUNDS", rounds)
+        monkeypatch.setattr(neardup, "JOINED", joined)
         assert {r["doc_id"]: r["component_id"] for r in neardup.linked(df).collect()} == want
 
 
