@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomdoc import config as C
 
 TERM = "struct<en:string,ko:string,note:string>"
-#: More terms than this do not belong into every row's expression.
-MAX_TERMS = 10_000
 
 
 def match_key(term: Column) -> Column:
@@ -58,16 +58,16 @@ def chosen(candidates: Column) -> Column:
 def match_terms(text: Column, glossary: DataFrame) -> Column:
     """Terms of ``glossary`` (en, ko, note; in order of ``pos`` if it has one) that occur in ``text``, each once, longest matches first.
 
-    The glossary is small and edited by hand; it becomes part of the expression, so matching needs no join or shuffle. Empty and null texts match nothing.
+    The glossary is edited by hand; it becomes part of the expression, so matching needs no join or shuffle, and costs a search a term in each text. Empty and null texts match nothing.
     """
     order = ["pos"] if "pos" in glossary.columns else []
-    rows = glossary.select("en", "ko", "note", term_pattern(F.col("en")).alias("p"), *order).orderBy(*order).limit(MAX_TERMS + 1).collect()
-    if len(rows) > MAX_TERMS:
-        raise ValueError(f"the glossary has more than {MAX_TERMS} terms")
+    terms = glossary.select("en", "ko", "note", term_pattern(F.col("en")).alias("p"), *order)
+    rows = (terms.orderBy(*order) if order else terms).collect()
     if not rows:
         return F.array().cast(f"array<{TERM}>")
-    patterns = F.array(*[F.lit(r["p"]) for r in rows])
-    entries = F.array(*[F.struct(*[F.lit(r[c]).alias(c) for c in ("en", "ko", "note")]) for r in rows])
+    # one literal each, however many terms
+    patterns = F.from_json(F.lit(json.dumps([r["p"] for r in rows])), "array<string>")
+    entries = F.from_json(F.lit(json.dumps([{c: r[c] for c in ("en", "ko", "note")} for r in rows])), f"array<{TERM}>")
     spans = F.flatten(
         F.transform(
             patterns,

@@ -25,6 +25,13 @@ def test_matches(spark):
         assert [m["en"] for m in row["m"]] == CASES[row["t"]], row["t"]
 
 
+def test_large_glossary_without_places(spark):
+    glossary = spark.createDataFrame([(f'item{k} "q\\x', f"품목{k}", None if k % 2 else "n") for k in range(10_500)], "en string, ko string, note string")
+    df = spark.createDataFrame([('an item10499 "q\\x and ITEM6 "q\\x.',), (None,)], "t string").withColumn("m", K.match_terms(F.col("t"), glossary))
+    found = [[tuple(m) for m in r["m"]] for r in df.collect()]
+    assert found == [[('item10499 "q\\x', "품목10499", None), ('item6 "q\\x', "품목6", "n")], []]
+
+
 def test_hash_is_the_hash_of_canonical_json(spark):
     terms = [{"en": "b", "ko": "도체 \"x\"", "note": ""}, {"en": "a", "ko": "시스", "note": "외피"}]
     want = hashlib.sha256(json.dumps(sorted(terms, key=lambda t: t["en"]), ensure_ascii=False, sort_keys=True, separators=(",", ":")).encode()).hexdigest()[:12]
