@@ -29,23 +29,15 @@ def filled_ratio(cells: Column) -> Column:
     return F.when(F.size(flat) > 0, F.size(F.filter(flat, lambda c: c.isNotNull() & (c != ""))) / F.size(flat)).otherwise(0.0)
 
 
-def is_table(cells: Column) -> Column:
-    """A candidate (with its page's metrics) that is a table: filled, large enough, with some long cells."""
+def holds_table(cells: Column) -> Column:
+    """A candidate's cells make a table: filled, enough of them, some long. Its box has to be ``large_enough`` besides."""
     rows, columns = F.size(cells), F.when(F.size(cells) > 0, F.size(cells[0])).otherwise(0)
     long = F.size(F.filter(F.flatten(cells), lambda c: c.isNotNull() & (F.length(T.strip(c)) >= C.LONG_CELL)))
-    return (
-        (filled_ratio(cells) >= C.FILLED_RATIO)
-        & (rows >= 2) & (columns >= 2) & (rows * columns >= C.MIN_CELLS)
-        & (F.col("x1") - F.col("x0") >= F.col("min_table_width")) & (F.col("bottom") - F.col("top") >= F.col("min_table_height"))
-        & (long >= C.MIN_LONG_CELLS)
-    )
+    return (filled_ratio(cells) >= C.FILLED_RATIO) & (rows >= 2) & (columns >= 2) & (rows * columns >= C.MIN_CELLS) & (long >= C.MIN_LONG_CELLS)
 
 
-def classify_candidates(candidates: DataFrame, metrics: DataFrame) -> DataFrame:
-    """Table candidates with ``kind``: table (cells cleaned) or figure."""
-    held = candidates.join(metrics.select(*PAGE, "min_table_width", "min_table_height"), PAGE)
-    kind = F.when(is_table(F.col("cells")), "table").otherwise("figure")
-    return held.withColumn("kind", kind).withColumn("cells", F.when(F.col("kind") == "table", T.clean_cells(F.col("cells"))))
+def large_enough(zone: list[float], width: float | None, body_size: float) -> bool:
+    return width is not None and zone[2] - zone[0] >= width * C.TABLE_WIDTH and zone[3] - zone[1] >= body_size * C.TABLE_HEIGHT
 
 
 def _least_near(low: np.ndarray, high: np.ndarray, gap: float) -> np.ndarray:
@@ -139,10 +131,10 @@ def merged_figures(figures: DataFrame) -> DataFrame:
     return figures.select(*PAGE, *BOX).groupBy(*PAGE).applyInPandas(_page_merged, ZONE)
 
 
-def expand_figures(zones: DataFrame, metrics: DataFrame) -> DataFrame:
-    held = zones.join(metrics.select(*PAGE, "figure_margin", "page_width", "page_height"), PAGE)
-    wide = P.expanded(box(), F.col("figure_margin"), F.col("page_width"), F.col("page_height"))
-    return held.select(*PAGE, "zone_no", *[c.alias(n) for c, n in zip(wide, BOX, strict=True)])
+def widened(zone: list[float], margin: float, width: float | None, height: float | None) -> list[float]:
+    """A figure with its margin, as far as the page goes."""
+    right, low = zone[2] + margin, zone[3] + margin
+    return [max(0.0, zone[0] - margin), max(0.0, zone[1] - margin), right if width is None else min(width, right), low if height is None else min(height, low)]
 
 
 def absorb_labels(zones: list[list[float]], labels: list[tuple[float, ...]], reach: float = C.LABEL_REACH) -> list[list[float]]:
@@ -156,17 +148,17 @@ def absorb_labels(zones: list[list[float]], labels: list[tuple[float, ...]], rea
     return zones
 
 
-def _page_absorbed(zones: pd.DataFrame, labels: pd.DataFrame) -> pd.DataFrame:
-    columns = ["doc_sha", "page_no", "zone_no", *BOX]
-    if zones.empty:
-        return pd.DataFrame(columns=columns)
-    zones = zones.sort_values("zone_no")
-    grown = absorb_labels(zones[BOX].to_numpy().tolist(), list(labels.sort_values("line_no")[BOX].itertuples(index=False, name=None)))
-    return pd.DataFrame([(zones["doc_sha"].iloc[0], zones["page_no"].iloc[0], k, *z) for k, z in zip(zones["zone_no"], grown, strict=True)], columns=columns)
+def outside(boxes: np.ndarray, zones: list[list[float]]) -> np.ndarray:
+    """Which of the boxes (rows x0, top, x1, bottom) share no more than an edge with any zone."""
+    free = np.ones(boxes.shape[1], bool)
+    for z in zones:
+        free &= ~((boxes[0] < z[2]) & (z[0] < boxes[2]) & (boxes[1] < z[3]) & (z[1] < boxes[3]))
+    return free
 
 
-def absorb_orphans(zones: DataFrame, lines: DataFrame) -> DataFrame:
-    """Figure zones widened by lines that look like labels of a drawing."""
-    ship(zones.sparkSession)
-    labels = lines.filter(T.is_axis_label(F.col("text"))).select(*PAGE, "line_no", *BOX)
-    return zones.groupBy(*PAGE).cogroup(labels.groupBy(*PAGE)).applyInPandas(_page_absorbed, ZONE)
+def page_diagrams(boxes: list[list[float]], images: list[bool], tables: list[list[float]]) -> list[list[float]]:
+    """``diagrams`` of one page."""
+    if not boxes:
+        return []
+    found = [hull for hull, count, image in cluster_boxes(np.array(boxes), np.array(images)) if image or count >= C.CLUSTER_MIN]
+    return [hull.tolist() for hull in found if outside(hull[:, None], tables)[0]]
