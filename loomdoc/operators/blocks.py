@@ -51,13 +51,10 @@ def _found(page: packed.Page, words: packed.Words, width: float | None, height:
     figures += zones.page_diagrams([z for z, _ in page.primitives], [image for _, image in page.primitives], taken)
     wide = [zones.widened(z, body * C.FIGURE_MARGIN, width, height) for z in zones.merge_vertical(figures)]
     if wide:
-        lines = layout.page_lines(words.text, *words.numbers, body * C.SCRIPT_GAP)
+        lines = layout.page_lines(words, *words.numbers, body * C.SCRIPT_GAP)
         wide = zones.absorb_labels(wide, [line[1:5] for line in lines if T.labels_axis(T.repaired(line[0]))])
-    taken += wide
-    if taken:
-        free = np.flatnonzero(zones.outside(words.numbers[:4], taken))
-        words = packed.Words([words.text[k] for k in free.tolist()], words.numbers[:, free])
-    lines = layout.page_lines(words.text, *words.numbers, body * C.SCRIPT_GAP)
+    free = np.flatnonzero(zones.outside(words.numbers[:4], [*taken, *wide]))
+    lines = layout.page_lines(words, *words.numbers[:, free], body * C.SCRIPT_GAP, free)
     blocks = [("table", z, None, None, None, cells) for z, cells in sorted(tables, key=lambda t: t[0][1])]
     blocks += [("figure", z, None, None, None, None) for z in wide]
     for held in _paragraphs(lines, body * C.PARAGRAPH_GAP):
@@ -93,7 +90,7 @@ def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         else:
             size = max(page.sizes, key=lambda s: [v or 0.0 for v in s])
             rows.append((page.doc_sha, page.page_no, *size, *_found(page, words, *size)))
-            n += len(words.text)
+            n += len(words.lengths)
         if len(rows) >= _PAGES or n >= _WORDS:
             yield _batch(rows)
             rows, n = [], 0
@@ -110,7 +107,7 @@ def extract_blocks(words: DataFrame, candidates: DataFrame, primitives: DataFram
     found = packed.gathered(words, candidates, primitives, pages, zones.holds_table(F.col("cells"))).mapInArrow(_extracted, f"doc_sha string, page_no int, page_width double, page_height double, median double, blocks {_FOUND}")
 
     def cleaned(b: Column) -> Column:
-        source = F.when(b["lines"].isNotNull(), T.clean(T.join_lines(b["lines"])))
+        source = F.when(b["lines"].isNotNull(), T.tidy(T.join_lines(b["lines"])))
         return F.struct(b["type"].alias("type"), b["bbox"].alias("bbox"), source.alias("source"), b["size"].alias("size"), b["n_lines"].alias("n_lines"), b["cells"].alias("cells"))
 
     kept = F.filter(F.transform("blocks", cleaned), lambda b: b["source"].isNull() | (b["source"] != ""))

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomdoc.model import GRID
-from loomdoc.operators.layout import PAGE
+from loomdoc.operators.layout import PAGE, Texts
 from loomdoc.operators.zones import BOX
 from loomdoc.shipping import ship
 
@@ -26,48 +26,52 @@ _FRAGMENT = pa.schema([("doc_sha", pa.string()), ("page_no", pa.int32()), ("part
 _ROW = f"doc_sha string, page_no int, kind int, part bigint, x0 double, top double, x1 double, bottom double, flag boolean, cells {GRID}, raw bigint, held binary"
 
 
-@dataclass
-class Words:
-    """A page's words in columns."""
+class Words(Texts):
+    """A page's words: ``signs`` holds their UTF-8 with one blank between two, ``lengths`` their bytes, ``numbers`` the rows x0, top, x1, bottom, size."""
+
+    def __init__(self, signs: bytes, lengths: np.ndarray, numbers: np.ndarray):
+        self.signs, self.lengths, self.numbers = signs, lengths, numbers
+        self.ends = np.cumsum(lengths + 1, dtype=np.int64) - 1
+
+    def joined(self, places: list[int]) -> str:
+        return " ".join([self.run(k, k) for k in places])
 
-    text: list[str]
-    numbers: np.ndarray  # rows x0, top, x1, bottom, size
+    def run(self, first: int, last: int) -> str:
+        return self.signs[self.ends[first] - self.lengths[first] : self.ends[last]].decode()
 
 
-def pack(text: pa.Array, numbers: np.ndarray) -> tuple[int, bytes]:
-    """Words as bytes: their number, lengths in UTF-8, numbers byte plane by byte plane (planes of a page's grid compress well), and characters."""
-    n = len(text)
-    ends = np.frombuffer(text.buffers()[1], np.int32, n + 1, 4 * text.offset)
-    signs = text.buffers()[2].slice(int(ends[0]), int(ends[-1] - ends[0])) if text.buffers()[2] else b""
-    planes = np.ascontiguousarray(numbers, "<f8").view(np.uint8).reshape(len(NUMBERS), n, 8).transpose(0, 2, 1)
-    raw = b"".join((np.int64(n).tobytes(), np.diff(ends).astype("<i4").tobytes(), planes.tobytes(), signs))
+def pack(signs: bytes, lengths: np.ndarray, numbers: np.ndarray) -> tuple[int, bytes]:
+    """Words as compressed bytes, and how many they are without: number, width of a number, lengths, numbers (short if all are exact so), characters."""
+    short = numbers.astype("<f4")
+    if (short == numbers).all():
+        numbers = short
+    raw = b"".join((np.array([len(lengths), numbers.itemsize], "<i8").tobytes(), lengths.astype("<i4").tobytes(), np.ascontiguousarray(numbers).tobytes(), signs))
     return len(raw), pa.Codec("zstd", 1).compress(raw, asbytes=True)
 
 
 def unpack(raw: int, held: bytes) -> Words:
     found = pa.Codec("zstd").decompress(held, raw, asbytes=True)
-    n = int(np.frombuffer(found, "<i8", 1)[0])
-    ends = np.append(0, np.cumsum(np.frombuffer(found, "<i4", n, 8), dtype=np.int64))
-    at = 8 + 4 * n + 8 * n * len(NUMBERS)
-    planes = np.frombuffer(found, np.uint8, 8 * n * len(NUMBERS), 8 + 4 * n).reshape(len(NUMBERS), 8, n).transpose(0, 2, 1)
-    numbers = np.ascontiguousarray(planes).view("<f8").reshape(len(NUMBERS), n)
-    text = pa.LargeStringArray.from_buffers(n, pa.py_buffer(ends.tobytes()), pa.py_buffer(found[at:]))
-    return Words(text.to_pylist(), numbers)
+    n, width = np.frombuffer(found, "<i8", 2).tolist()
+    at = 16 + 4 * n
+    numbers = np.frombuffer(found, f"<f{width}", n * len(NUMBERS), at).astype(float).reshape(len(NUMBERS), n)
+    return Words(found[at + width * n * len(NUMBERS) :], np.frombuffer(found, "<i4", n, 16), numbers)
 
 
 def _fragments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each run of one page's words in a batch as one row."""
     part = 0
     for batch in batches:
-        if not batch.num_rows:
+        n = batch.num_rows
+        if not n:
             continue
         sha, page, text = (batch.column(c) for c in (*PAGE, "text"))
         text = pc.fill_null(text.cast(pa.string()), "")
-        numbers = np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(float) for c in NUMBERS])
+        numbers = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in NUMBERS])
         new = pc.or_(pc.not_equal(sha[1:], sha[:-1]), pc.not_equal(page[1:], page[:-1])).to_numpy(zero_copy_only=False)
         starts = np.append(0, np.flatnonzero(new) + 1)
-        ends = np.append(starts[1:], batch.num_rows).tolist()
-        packed = [pack(text[a:z], numbers[:, a:z]) for a, z in zip(starts.tolist(), ends, strict=True)]
+        bounds, lengths = np.append(starts, n), pc.binary_length(text).to_numpy(zero_copy_only=False)
+        signs = pc.binary_join(pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), text), " ").cast(pa.binary()).to_pylist()
+        packed = [pack(s, lengths[a:z], numbers[:, a:z]) for s, a, z in zip(signs, bounds.tolist(), bounds[1:].tolist(), strict=False)]
         parts = np.arange(part, part + len(packed))
         part += len(packed)
         yield pa.RecordBatch.from_arrays(
@@ -115,7 +119,7 @@ class Page:
         parts = [unpack(*f) for f in self.fragments]
         if not parts:
             return None
-        return parts[0] if len(parts) == 1 else Words([t for p in parts for t in p.text], np.hstack([p.numbers for p in parts]))
+        return parts[0] if len(parts) == 1 else Words(b" ".join(p.signs for p in parts), np.concatenate([p.lengths for p in parts]), np.hstack([p.numbers for p in parts]))
 
 
 def pages_of(batches: Iterator[pa.RecordBatch]) -> Iterator[Page]:

@@ -66,6 +66,8 @@ def cluster_boxes(boxes: np.ndarray, images: np.ndarray, gap: float = C.CLUSTER_
     Hulls only grow, so the result does not depend on the order of merges. Boxes whose corners share a cell of the
     gap's size are near in any case and are merged first. In each round every hull joins the first one near it and whatever that one joins.
     """
+    if len(boxes) == 1:
+        return [(boxes[0], 1, bool(images[0]))]
     cells = np.floor(boxes[:, :2] / max(gap, 1e-9)).astype(np.int64)
     _, label = np.unique(cells, axis=0, return_inverse=True)
     label = label.ravel()
